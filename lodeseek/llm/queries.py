@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -15,12 +16,32 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(id_col: str, modulus: int, remainder: int) -> Column:
+    return F.coalesce(fold(id_col, modulus) == remainder, F.lit(False)).alias("held_out")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id", 5, 0))
+    model = fit(docs.where("not held_out"))
+    return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(~held_out("doc_id", 4, 2)))
+    return score(docs.select("doc_id", "text", held_out("doc_id", 4, 2)), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dac import round_trip
 
@@ -28,7 +49,7 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op10_token_id_output)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op5_language_id, op8_quality_classifier, op10_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
