@@ -42,6 +42,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=5, least=0.8)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, score
 
@@ -81,7 +87,7 @@ GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op5_language_id, op8_quality_classifier, op9_bpe_prefix_encoding, op10_token_id_output)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op5_language_id, op7_minhash_near_dedup, op8_quality_classifier, op9_bpe_prefix_encoding, op10_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
