@@ -34,6 +34,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vecdedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, identify
 
@@ -87,7 +93,7 @@ GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op5_language_id, op7_minhash_near_dedup, op8_quality_classifier, op9_bpe_prefix_encoding, op10_token_id_output)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_embedding_near_dedup, op5_language_id, op7_minhash_near_dedup, op8_quality_classifier, op9_bpe_prefix_encoding, op10_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
