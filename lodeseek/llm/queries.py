@@ -34,6 +34,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vecdedup import near_duplicate_vectors
 
@@ -48,6 +54,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"), k=5, least=0.8)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -93,7 +105,7 @@ GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op4_embedding_near_dedup, op5_language_id, op7_minhash_near_dedup, op8_quality_classifier, op9_bpe_prefix_encoding, op10_token_id_output)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_line_dedup, op3_approximate_nearest_neighbours, op4_embedding_near_dedup, op5_language_id, op6_license_scan, op7_minhash_near_dedup, op8_quality_classifier, op9_bpe_prefix_encoding, op10_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
