@@ -223,7 +223,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group; rows of equal id and group beyond the first go as well."""
+    """docs with one row of each group, the one of the smallest id; of rows of equal id one stays."""
     id_col = options.get("id_col", "doc_id")
     gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    kept = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
