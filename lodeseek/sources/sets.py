@@ -21,7 +21,7 @@ def from_records(spark: SparkSession, records: list[dict], schema: str) -> DataF
 def read_yaml(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
     import yaml
 
-    text = "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())  # one small file
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one small file
     data = yaml.safe_load(text) or []
     return from_records(spark, data[key] if key else data, schema)
 
@@ -76,7 +76,7 @@ def load_config(spark: SparkSession, path: str | None) -> PipelineConfig:
     if not path:
         return PipelineConfig()
     try:
-        text = "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())  # one small file
+        text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one small file
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return PipelineConfig()

@@ -31,13 +31,13 @@ def facts(spark: SparkSession, path: str, prefixes: tuple[str, ...] = ("us-gaap"
     """(pos, prefix, concept, context_id, unit_id, value): elements with a contextRef, found in the files' text.
 
     An instance has one element name a concept, so that no row tag fits; the elements are cut by a pattern."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.abs(F.hash(F.input_file_name())).cast("long"))
     names = "|".join(prefixes)
     element = rf"(?s)<((?:{names}):[\w\-.]+)((?:\s+[\w:\-]+=\"[^\"]*\")*)\s*(?:/>|>(.*?)</\1>)"
-    rows = text.select(F.posexplode(F.regexp_extract_all("value", F.lit(element), F.lit(0))).alias("pos", "e"))
+    rows = text.select("file", F.posexplode(F.regexp_extract_all("value", F.lit(element), F.lit(0))).alias("pos", "e"))
     part = lambda k: F.regexp_extract("e", element, k)
     attr = lambda a: F.nullif(F.regexp_extract(part(2), rf'{a}="([^"]*)"', 1), F.lit(""))
-    out = rows.select("pos", F.split(part(1), ":").getItem(0).alias("prefix"), F.split(part(1), ":").getItem(1).alias("concept"), attr("contextRef").alias("context_id"), attr("unitRef").alias("unit_id"), part(3).alias("value"))
+    out = rows.select((F.col("file") * (1 << 31) + F.col("pos")).alias("pos"), F.split(part(1), ":").getItem(0).alias("prefix"), F.split(part(1), ":").getItem(1).alias("concept"), attr("contextRef").alias("context_id"), attr("unitRef").alias("unit_id"), part(3).alias("value"))
     return out.where("context_id is not null")
 
 
