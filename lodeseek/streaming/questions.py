@@ -21,7 +21,10 @@ def counted(stream: DataFrame, ts: str = "ts", key: str = "event_type", late: st
 
 
 def candidates(stream: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, item_id): each question's items that share a term, by a join of the stream with the static postings."""
-    postings = corpus.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    asked = stream.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    return asked.join(postings, "term").select("query_id", "item_id")
+    """(query_id, item_id): each question's items that share a term, by a join of the stream with the static postings.
+
+    A pair counts at its first common term only, so that no state is needed to tell repeated pairs."""
+    postings = corpus.withColumn("terms", F.array_distinct(tokens(F.col("text")))).select("item_id", "terms", F.explode("terms").alias("term"))
+    asked = stream.withColumn("asked", F.array_distinct(tokens(F.col("question")))).select("query_id", "asked", F.explode("asked").alias("term"))
+    first = F.array_min(F.array_intersect("asked", "terms"))
+    return asked.join(postings, "term").where(F.col("term") == first).select("query_id", "item_id")
