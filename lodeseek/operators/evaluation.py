@@ -103,3 +103,36 @@ def hallucination_variants(records: DataFrame) -> DataFrame:
     against = {"retrieved": F.array_join("contexts", "\n"), "ideal_answer": F.col("ideal_answer"), "gold_source": F.coalesce("gold_text", "ideal_answer")}
     cells = F.array(*[F.struct(F.lit(n).alias("variant"), (1 - lexical_overlap(F.col("answer"), c)).alias("score")) for n, c in against.items()])
     return records.select("id", F.explode(cells).alias("v")).select("id", "v.*")
+
+
+def judge_means(scores: DataFrame, *metrics: str) -> DataFrame:
+    """Per model, the mean of each metric over the records that were judged: NaN and null are failures; NaN if all failed."""
+    nan = F.lit(float("nan"))
+    return scores.groupBy("model").agg(*[F.coalesce(F.avg(F.when(~F.isnan(m), F.col(m))), nan).alias(m) for m in metrics])
+
+
+def with_provenance(metric: Column, context: Column, wanted: str = "gold_source") -> Column:
+    """A metric counts only if it was scored against the wanted context."""
+    return F.when(F.startswith(context, F.lit(wanted)), metric)
+
+
+def gold_text(questions: DataFrame, units: DataFrame, sep: str = "\n") -> DataFrame:
+    """(id, gold_text): the units at a question's gold locators, in order; its ideal answer if there are none."""
+    wanted = questions.select("id", F.col("gold_doc").alias("doc_id"), F.posexplode("gold_locators").alias("i", "locator"))
+    found = wanted.join(units.select("doc_id", "locator", "text"), ["doc_id", "locator"])
+    texts = found.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), sep).alias("t"))
+    return questions.join(texts, "id", "left").select("id", F.coalesce("t", "ideal_answer").alias("gold_text"))
+
+
+def confidence_summary(scores: DataFrame) -> DataFrame:
+    """Ranges of both classes (answerable, score), and whether they overlap."""
+    at = lambda f, yes: f(F.when(F.col("answerable") == yes, F.col("score")))
+    out = scores.agg(*[at(f, yes).alias(f"{f.__name__}_{name}") for f in (F.min, F.avg, F.max) for yes, name in ((True, "answerable"), (False, "unanswerable"))])
+    return out.withColumn("overlap", F.coalesce(F.col("max_unanswerable") >= F.col("min_answerable"), F.lit(False)))
+
+
+def route_accuracy(top: DataFrame, catalogue: DataFrame, gold: DataFrame) -> DataFrame:
+    """(query_id, route, right): the line of each query's first document; unknown without a hit or for an unlisted document."""
+    named = top.join(catalogue, "doc_id", "left").select("query_id", F.coalesce("business_line", F.lit("unknown")).alias("route"))
+    full = gold.join(named, "query_id", "left").withColumn("route", F.coalesce("route", F.lit("unknown")))
+    return full.select("query_id", "route", (F.col("route") == F.col("business_line")).alias("right"))

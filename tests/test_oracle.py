@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lodeseek.plans import corpus_queries, evaluation_queries, experiment_queries, registry, search_queries  # noqa: F401
+from lodeseek.plans import corpus_queries, evaluation_queries, experiment_queries, judging_queries, registry, search_queries  # noqa: F401
 from tests.conftest import SF
 
 
