@@ -16,11 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, small_batches
@@ -205,12 +206,16 @@ def fit(docs: DataFrame, fit_rows: int = 600, excerpt: int = 2000, id_col: str =
     counts = rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(64).collect()
     text = F.coalesce(F.col(text_col), F.lit(""))
     at = F.pmod(F.xxhash64(F.col(id_col)), F.greatest(F.lit(1), F.length(text) - excerpt + 1)) + 1
-    sample = []
-    for r in counts:
-        # about twice fit_rows rows by hash, then the first fit_rows of them
-        some = rows.where((F.col(lang_col) == r[0]) & (F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) <= F.lit(int(2 * fit_rows * 1_000_003 / r["n"]))))
-        some = some.select(F.xxhash64(id_col).alias("h"), text.substr(at.cast("int"), F.lit(excerpt)).alias("text")).orderBy("h", "text").limit(fit_rows)
-        sample += [(x["text"], r[0]) for x in some.collect()]
+    if not counts:
+        return train([])
+    # about twice fit_rows rows of each language by a cut of the hash, then the first fit_rows of them, in one pass
+    part = F.pmod(F.xxhash64(id_col), F.lit(1_000_003))
+    drawn = reduce(lambda x, y: x | y, [(F.col(lang_col) == r[0]) & (part <= F.lit(int(2 * fit_rows * 1_000_003 / r["n"]))) for r in counts])
+    some = rows.where(drawn).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), text.substr(at.cast("int"), F.lit(excerpt)).alias("text"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    first = some.withColumn("nth", order).where(F.col("nth") <= fit_rows).collect()
+    place = {r[0]: i for i, r in enumerate(counts)}
+    sample = [(r["text"], r["lang"]) for r in sorted(first, key=lambda r: (place[r["lang"]], r["nth"]))]
     return train(sample)
 
 
