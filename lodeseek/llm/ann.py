@@ -12,7 +12,8 @@ changes or after ``hops`` rounds.  The best of each beam are scored on the origi
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor those of
 another length than most; a query is never its own candidate, nor are rows of equal id; ties go to the smaller id;
-null ids take no part; with fewer candidates than asked for, all are returned; an empty table gives an empty result.
+null ids take no part, and of rows of equal id one does; with fewer candidates than asked for, all are returned; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
