@@ -48,7 +48,7 @@ def learn(x: np.ndarray, bits: int, rounds: int = 30) -> ITQ:
     if not len(x):
         return ITQ(np.zeros(x.shape[1]), np.zeros((x.shape[1], bits)))
     mean = x.mean(0)
-    _, _, axes = np.linalg.svd(x - mean, full_matrices=True)
+    axes = np.linalg.eigh((x - mean).T @ (x - mean))[1].T[::-1]  # of the small square matrix, whatever the sample
     bases = []
     for at in range(0, bits, x.shape[1]):
         n = min(x.shape[1], bits - at)
