@@ -13,7 +13,8 @@ most (n + m)(1 - s)/(1 + s), which is the alignment's band.
 Exact copies (equal word sequences) are one class and stand in for each other.  In every bucket each member is
 compared with the bucket's leader, a different one in each table.  What those links leave apart is compared in
 full: within a bucket, every member outside the largest component with every member of another component, unless the
-lengths, or the distances to the leader (the Jaccard distance is a metric), exclude a link.  No bucket is capped.
+lengths, the distances to the leader (the Jaccard distance is a metric) or the number of k-mers that stand in no other
+text left exclude a link.  No bucket is capped.
 
 Defined cases: texts without words (null, empty, symbols) and rows without an id are left alone, each kept; a text of
 fewer than k words is one k-mer; rows that share an id are in one group; an empty table gives an empty result.
@@ -167,6 +168,34 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
     return both.withColumn("c", compare("ta", "tb")).select("a", "b", "c.sim", "c.jaccard")
 
 
+BINS = 128
+
+
+def common_kmers(texts: DataFrame, k: int) -> DataFrame:
+    """(doc_id, vec): how many of a text's k-mers stand in others of ``texts`` as well, by bins of their hashes."""
+
+    @F.pandas_udf("array<long>")
+    def listed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in batches:
+            yield pd.Series([kmers(word_hashes(t), k).view(np.int64) for t in some], dtype=object)
+
+    @F.pandas_udf("array<int>")
+    def counted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for some, private in batches:
+            out = []
+            for t, own in zip(some, private, strict=True):
+                n = np.bincount((kmers(word_hashes(t), k) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+                if own is not None and len(own):
+                    n = n - np.bincount(np.asarray(own, np.int64), minlength=BINS)
+                out.append(n.astype(np.int32))
+            yield pd.Series(out, dtype=object)
+
+    found = texts.select("doc_id", F.explode(listed("text")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    in_bin = F.pmod("kmer", F.lit(BINS))  # bins divide 2 ** 64, so signs do not matter
+    private = found.where("n = 1").groupBy("doc_id").agg(F.collect_list(in_bin.cast("int")).alias("own"))  # k-mers of one text
+    return texts.join(private, "doc_id", "left").select("doc_id", counted("text", "own").alias("vec"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int = 20, rows: int = 2, l: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: E741
     """(doc_id, class_id, group_id, kept) for every row: the smallest id of its exact copies, the smallest id of its
     group (what chains of links reach), and whether it is that one."""
@@ -202,10 +231,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int
     near = compared.select("a", "b", "jaccard")
     to_leader = apart.withColumns({"a": F.least("rep", "leader"), "b": F.greatest("rep", "leader")}).join(near, ["a", "b"], "left")
     to_leader = cut(to_leader.select("t", "key", "rep", "n", "leader", "component", "core", F.when(F.col("rep") == F.col("leader"), 1.0).otherwise(F.col("jaccard")).alias("j")), "omh-apart")
-    outside = to_leader.where(F.col("component") != F.col("core")).select("t", "key", F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"), F.col("j").alias("vj"))
-    others = to_leader.select("t", "key", F.col("rep").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"), F.col("j").alias("uj"))
+    vecs = common_kmers(texts.join(to_leader.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), k)
+    to_leader = to_leader.join(vecs.select(F.col("doc_id").alias("rep"), "vec"), "rep")
+    outside = to_leader.where(F.col("component") != F.col("core")).select("t", "key", F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"), F.col("j").alias("vj"), F.col("vec").alias("vs"))
+    others = to_leader.select("t", "key", F.col("rep").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"), F.col("j").alias("uj"), F.col("vec").alias("us"))
     close = F.coalesce(F.abs(F.col("vj") - F.col("uj")) <= 1 - least + 1e-9, F.lit(True))
-    rest = outside.join(others, ["t", "key"]).where((F.col("vc") != F.col("uc")) & fits(F.col("vn"), F.col("un")) & close)
+    common = F.aggregate(F.zip_with("vs", "us", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)  # at most so many k-mers stand in both
+    enough = common >= least * (F.col("vn") + F.col("un") - common)
+    rest = outside.join(others, ["t", "key"]).where((F.col("vc") != F.col("uc")) & fits(F.col("vn"), F.col("un")) & close & enough)
     rest = rest.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     rest = rest.join(compared.select("a", "b"), ["a", "b"], "left_anti")
     more = cut(verified(rest, texts, k, least).where(F.col("sim") >= least).select("a", "b"), "omh-more")
@@ -214,8 +247,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, least: float = 0.8, tables: int
     reps = classes.select("h1", "h2", "rep").join(groups, F.col("rep") == F.col("node"), "left")
     reps = reps.select("h1", "h2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("group_id"))
     out = sketches.select("doc_id", "h1", "h2", "n").join(reps, ["h1", "h2"], "left")
-    alone = F.col("n") == 0
-    out = out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"))
+    wordless = F.col("n") == 0
+    out = out.select("doc_id", F.when(wordless, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(wordless, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"))
     nulls = docs.where(F.col(id_col).isNull()).select(*[F.lit(None).cast("long").alias(c) for c in ("doc_id", "class_id", "group_id")])
     for t in (met, compared, texts, to_leader):
         drop_table(t, spark)
