@@ -467,7 +467,7 @@ def embed_hash(spark, d):
 def _answered(spark, d) -> DataFrame:
     lang = F.col("lang")
     items = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "doc_id", lang.alias("business_line"), F.lit("p1").alias("locator"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), "text")
-    asked = questions(spark, d).where("query_id < 20").select("query_id", "question").unionByName(spark.createDataFrame([(-i - 1, q) for i, q in enumerate(ASKED)], "query_id long, question string"))
+    asked = questions(spark, d).select("query_id", "question").unionByName(spark.createDataFrame([(-i - 1, q) for i, q in enumerate(ASKED)], "query_id long, question string"))
     return plans.answer(asked, items)
 
 

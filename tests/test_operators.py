@@ -167,3 +167,11 @@ def test_streams(spark, sf, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert spark.table("counted").agg(F.sum("n")).collect()[0][0] == events.count()
+
+
+def test_every_question_is_answered(spark, sf):
+    from lodeseek.plans import search_queries
+
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").count()
+    got = search_queries.answer_pipeline(spark, sf).where("query_id >= 0")
+    assert got.count() == got.select("query_id").distinct().count() == asked
