@@ -9,8 +9,10 @@ Equal vectors are one class and stand in for each other with their number.  A bu
 pairs of tiles are compared as matrices; a pair of tiles returns sums of links a vector and a spanning forest of its
 links, never the links.  So hot buckets spread over many tasks, and no bucket is capped.
 
-Recall: the length of the substrings follows the number of vectors, so that chance fills no buckets, and the number of
-tables follows from both (index_shape): a pair at the threshold is missed with a probability of 1 / 2000 at most.
+Recall: centring widens the angle of a pair, so the share of bits that differ is measured on the sample, on pairs made
+to lie exactly at the threshold (bit_errors).  The number of tables follows from it: such pairs are missed with a mean
+probability of 1 / 2000 at most (fewest_tables).  The length of the substrings is the cheapest one for the number of
+vectors (fitted_shape); where one bucket with all vectors is cheaper than any tables, all pairs are compared.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
 different lengths do not link; rows with equal ids are one vertex each way (links are summed by id); null ids stay
@@ -58,7 +60,7 @@ def learn(x: np.ndarray, bits: int, rounds: int = 30) -> ITQ:
             u, _, w = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
         bases.append(axes[:n].T @ r)
-    return ITQ(mean, np.concatenate(bases, 1))
+    return ITQ(mean, np.concatenate(bases, 1) if bases else np.zeros((x.shape[1], 0)))
 
 
 def good_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -109,19 +111,63 @@ def index_shape(n: int, least: float) -> tuple[int, int]:
     return (int(np.ceil(np.log(1 / 2000) / np.log1p(-meet))) if meet < 1 else 1), bits
 
 
+def bit_errors(model: ITQ, x: np.ndarray, least: float, rows: int = 2000) -> np.ndarray:
+    """Share of bits that differ between vectors of the sample and others at a cosine of ``least`` to them, off in any
+    direction and off towards another vector of the sample: (2, rows)."""
+    rng, x = np.random.default_rng(1), x[:rows]
+    codes, out = model.codes(x), []
+    for off in (rng.normal(size=x.shape), np.roll(x, 1, 0) - x):
+        off = off - (off * x).sum(1, keepdims=True) * x
+        off /= np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-12)
+        near = least * x + np.sqrt(max(1 - least * least, 0)) * off
+        near /= np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-12)
+        out.append((codes != model.codes(near)).mean(1))
+    return np.stack(out)
+
+
+def fewest_tables(errors: np.ndarray, bits: int, most: int = 1 << 14) -> int:
+    """The least number of tables that miss pairs of such shares of differing bits with a mean probability of at most
+    1 / 2000, of either kind; more than ``most`` if those do not suffice."""
+    miss = 1 - (1 - errors) ** bits
+    enough = lambda tables: (miss**tables).mean(1).max() <= 1 / 2000
+    low, high = 1, most + 1
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if enough(mid) else (mid + 1, high)
+    return low
+
+
+def fitted_shape(n: int, d: int, errors: np.ndarray, tile: int) -> tuple[int, int]:
+    """(tables, bits) that move the fewest bytes: each table moves a vector and its earlier codes once for every tile
+    of its bucket.  (1, 0) compares all pairs."""
+    cost = lambda tables, bits: tables * (1 + n / 2**bits / tile) * (4 * d + 2 * tables + 40)
+    shapes = [(1, 0)] + [(t, bits) for bits in range(4, 21) if (t := fewest_tables(errors, bits)) <= 1 << 14]
+    return min(shapes, key=lambda s: cost(*s))
+
+
+def index_of(x: np.ndarray, n: int, least: float, tile: int) -> tuple[ITQ, int, int]:
+    """(model, tables, bits) for ``n`` vectors of which the unit vectors ``x`` are a sample."""
+    d = x.shape[1]
+    if n <= tile or len(x) < 2:
+        return learn(x, 0), 1, 0
+    model = learn(x, max(512, d))
+    tables, bits = fitted_shape(n, d, bit_errors(model, x, least), tile)
+    return (model if tables * bits <= model.basis.shape[1] else learn(x, tables * bits)), tables, bits
+
+
 def _links(classes: DataFrame, d: int, least: float, tile: int, fit_rows: int) -> tuple[DataFrame, DataFrame]:
     """(rep, links): the number of other vectors linked with each class; (a, b): links enough to span the components."""
     spark = classes.sparkSession
-    tables, bits = index_shape(classes.count(), least)
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(fit_rows).select("v").collect()
-    model = spark.sparkContext.broadcast(learn(unit(r["v"] for r in sample), tables * bits))
+    fitted, tables, bits = index_of(unit(r["v"] for r in sample), classes.count(), least, tile)
+    model = spark.sparkContext.broadcast(fitted)
     powers = 1 << np.arange(bits)
 
     @F.pandas_udf("array<int>")
     def substrings(vs: pd.Series) -> pd.Series:
         if not len(vs):
             return pd.Series([], dtype=object)
-        codes = model.value.codes(unit(vs)).reshape(len(vs), tables, bits)
+        codes = model.value.codes(unit(vs))[:, : tables * bits].reshape(len(vs), tables, bits)
         return pd.Series(list((codes @ powers).astype(np.int32)))
 
     small_batches(spark, 1024)

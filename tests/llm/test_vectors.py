@@ -74,6 +74,36 @@ def test_index_shape():
         assert (1 - meet) ** tables <= 1 / 2000 and 8 <= bits <= 20
 
 
+def planted(n, norm, seed=0, pairs=1000, d=64):
+    """n unit vectors around a common mean of about this norm; the first pairs lie at a cosine of 0.951 (i, pairs + i)."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d)) * np.sqrt((1 - norm**2) / d)
+    x[:, 0] += norm
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=(pairs, d))
+    off -= (off * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    x[pairs : 2 * pairs] = 0.951 * x[:pairs] + np.sqrt(1 - 0.951**2) * off
+    return x
+
+
+@pytest.mark.parametrize("norm", [0.0, 0.71, 0.9])
+@pytest.mark.parametrize("n", [2_000, 10_000, 10**6])
+def test_planted_pairs_meet(n, norm):
+    x = planted(min(n, 10_000), norm)
+    model, tables, bits = vecdedup.index_of(x, n, 0.95, 128)
+    codes = model.codes(x[:2000])[:, : tables * bits].reshape(2000, tables, bits)
+    assert (codes[:1000] == codes[1000:]).all(2).any(1).mean() >= 0.996
+
+
+def test_links_around_a_common_mean(spark):
+    x = planted(4000, 0.9).astype(np.float32)
+    links, _ = brute(x, 0.95)
+    assert links.sum() >= 2000
+    got = vecdedup.near_duplicate_vectors(frame(spark, x), 0.95).toPandas().sort_values("vec_id")
+    assert got.n_links[: len(x)].sum() >= 0.998 * links.sum()
+
+
 def test_nearest_query(spark):
     d = "/root/testdata/sf0.1"
     x = np.array([r["embedding"] for r in spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()])
