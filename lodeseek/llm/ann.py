@@ -3,12 +3,13 @@
 Building: each vector starts with its best neighbours in a few small cells (random hyperplanes cut the space, hashes
 cut full cells).  Then, in each round, Spark joins the neighbours of each vector, forward and backward, with their
 vectors; all pairs among them of which one is new are compared, and each vector keeps its best ``degree`` ones.  A
-round samples a bounded number of neighbours in each direction, so that it costs the same a vector at any size.
+round samples a bounded number of neighbours in each direction, so that it costs the same a vector at any size; rounds
+follow until one replaces at most a share ``delta`` of all neighbours, as many as the table needs.
 
 Search: a node's row holds its neighbours with their vectors in half precision.  Each query keeps a beam of the best
-nodes seen, begun with its own neighbours, if it is in the index, and with fixed entry nodes; in each round the best
+nodes seen (beam_of, it grows with the table), begun with its own neighbours, if it is in the index, and with fixed entry nodes; in each round the best
 nodes that were not expanded yet are joined with their rows and their neighbours scored.  It ends when no beam
-changes or after ``hops`` rounds.  The best of each beam are scored on the original vectors in double precision.
+holds a node that was not expanded.  The best of each beam are scored on the original vectors in double precision.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor those of
 another length than most; a query is never its own candidate, nor are rows of equal id; ties go to the smaller id;
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut, drop_table, parts, release_shuffles, small_batches
 from .vecdedup import good_vectors, whole_groups
 
-CELL = 64
+CELL = 2048
 FOUND = "id long, other long, s float"
 
 
@@ -83,15 +84,23 @@ def local_join(df: DataFrame, by: list[str], keep: int) -> DataFrame:
 
 
 def best_of(found: DataFrame, degree: int) -> DataFrame:
-    """(id, nb): for each id its best ``degree`` others, each once, best first; an entry stays old if it was."""
-    once = found.repartition(parts(found.sparkSession), "id").groupBy("id", "other").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    """(id, nb, replaced): for each id its best ``degree`` others, each once, best first; an entry stays old if it was;
+    the number of entries that were not there before."""
+    once = found.repartition(parts(found.sparkSession), "id").groupBy("id", "other").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"), F.min("new").alias("new"))
     order = Window.partitionBy("id").orderBy(F.desc("s"), "other")
     top = once.withColumn("r", F.row_number().over(order)).where(F.col("r") <= degree)
     nb = F.transform(F.array_sort(F.collect_list(F.struct("r", "other", "s", "fresh"))), lambda x: F.struct(x["other"].alias("other"), x["s"].alias("s"), x["fresh"].alias("fresh")))
-    return top.groupBy("id").agg(nb.alias("nb"))
+    return top.groupBy("id").agg(nb.alias("nb"), F.sum(F.col("new").cast("int")).alias("replaced"))
 
 
-def build(vectors: DataFrame, degree: int = 32, sample: int = 12, cells: int = 4, rounds: int = 5) -> DataFrame:
+def settling(graph: DataFrame, delta: float) -> bool:
+    """Whether the last round replaced more than a share ``delta`` of the neighbours.  Each replacement is by a nearer
+    one, so this ends."""
+    last = graph.agg(F.sum("replaced").alias("replaced"), F.sum(F.size("nb")).alias("all")).collect()[0]
+    return (last["replaced"] or 0) > delta * (last["all"] or 0)
+
+
+def build(vectors: DataFrame, degree: int = 32, sample: int = 12, cells: int = 8, delta: float = 0.005) -> DataFrame:
     """(id, nb) of every vector (id, v, h)."""
     spark = vectors.sparkSession
     n = vectors.count()
@@ -114,8 +123,8 @@ def build(vectors: DataFrame, degree: int = 32, sample: int = 12, cells: int = 4
     coded = coded.join(sizes, ["t", "code"]).withColumn("piece", F.pmod(F.xxhash64("id", "t"), F.col("pieces")).cast("int"))
     coded = coded.withColumns({"fresh": F.lit(True), "floor": F.lit(float("-inf")).cast("float")})
     started = local_join(coded.select("t", "code", "piece", "id", "h", "fresh", "floor"), ["t", "code", "piece"], degree)
-    graph = cut(best_of(started.withColumn("fresh", F.lit(True)), degree), "ann-graph")
-    for _ in range(rounds):
+    graph = cut(best_of(started.withColumns({"fresh": F.lit(True), "new": F.lit(True)}), degree), "ann-graph")
+    while settling(graph, delta):
         some = F.slice(F.filter("nb", lambda x: x["fresh"]), 1, sample)
         rest = F.slice(F.filter("nb", lambda x: ~x["fresh"]), 1, sample)
         picked = graph.select(F.col("id").alias("c"), F.explode(F.concat(some, rest)).alias("e")).select("c", F.col("e.other").alias("m"), F.col("e.fresh").alias("fresh"))
@@ -125,11 +134,11 @@ def build(vectors: DataFrame, degree: int = 32, sample: int = 12, cells: int = 4
         floors = graph.select("id", F.when(F.size("nb") >= degree, F.element_at("nb", -1)["s"]).otherwise(F.lit(float("-inf"))).cast("float").alias("floor"))
         known = vectors.select("id", "h").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")).cast("float")))
         with_vectors = members.join(known, members["m"] == known["id"]).select("c", "id", "h", "fresh", "floor")
-        found = local_join(with_vectors, ["c"], 8).withColumn("fresh", F.lit(True))
+        found = local_join(with_vectors, ["c"], degree).withColumns({"fresh": F.lit(True), "new": F.lit(True)})
         # those that were compared now are old from here on
         aged = graph.select("id", F.explode("nb").alias("e")).select("id", "e.other", "e.s", "e.fresh")
         seen = picked.where("fresh").select(F.col("c").alias("id"), F.col("m").alias("other"), F.lit(False).alias("used"))
-        aged = aged.join(seen, ["id", "other"], "left").select("id", "other", "s", (F.col("fresh") & F.coalesce("used", F.lit(True))).alias("fresh"))
+        aged = aged.join(seen, ["id", "other"], "left").select("id", "other", "s", (F.col("fresh") & F.coalesce("used", F.lit(True))).alias("fresh"), F.lit(False).alias("new"))
         before, graph = graph, cut(best_of(aged.unionByName(found), degree), "ann-graph")
         drop_table(before, spark)
         release_shuffles(spark)
@@ -147,9 +156,16 @@ def node_rows(graph: DataFrame, vectors: DataFrame, forward: int, backward: int)
     return full.select("node", F.col("es.other").alias("others"), F.array_join(F.transform("es.h", lambda h: F.hex(h)), "").alias("x")).select("node", "others", F.unhex("x").alias("hs"))
 
 
-def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 20, beam: int = 160, width: int = 16, hops: int = 10, entries: int = 64, forward: int = 24, backward: int = 16) -> DataFrame:
+def beam_of(n: int) -> int:
+    """Nodes in a beam: 160 up to 10,000 vectors, from there on it grows with the cube root of their number."""
+    return max(160, int(np.ceil(160 * (n / 10_000) ** (1 / 3))))
+
+
+def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 20, beam: int | None = None, entries: int = 64, forward: int = 24, backward: int = 16) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found for each of queries (id, v, h)."""
     spark = vectors.sparkSession
+    beam = beam or beam_of(vectors.count())
+    width = max(16, beam // 10)
     rows = node_rows(graph, vectors, forward, backward)
     rows = cut(rows, "ann-nodes").repartition(parts(spark), "node").persist()
     fixed = vectors.select("id", "h").orderBy(F.xxhash64("id"), "id").limit(entries).collect()
@@ -205,7 +221,7 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 20
     own = graph.select(F.col("id").alias("q"), F.col("nb.other").alias("ids"), F.col("nb.s").alias("s"))
     begun = queries.select(F.col("id").alias("q"), "h").join(own, "q", "left")
     now = cut(begun.mapInPandas(begin, state), "ann-beams") if fixed else cut(spark.createDataFrame([], state), "ann-beams")
-    for _ in range(hops):
+    while True:  # a node that left a beam is below its floor and cannot return, so this ends
         floor = F.when(F.size("ids") >= beam, F.element_at("s", -1)).otherwise(F.lit(float("-inf"))).cast("float")
         front = now.select("q", "h", floor.alias("floor"), F.explode("go").alias("node"))
         if front.isEmpty():

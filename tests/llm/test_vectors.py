@@ -134,3 +134,24 @@ def test_nearest_of_few(spark):
     assert ann.nearest(frame(spark, [])).count() == 0
     tied = spark.createDataFrame([(i, [1.0, 0.0]) for i in (20, 3, 7, 5)], "vec_id long, embedding array<float>")
     assert [r["vec_id"] for r in ann.nearest(tied).orderBy("rank").collect()] == [3, 5, 7]
+
+
+def test_nearest_builds_until_settled(spark, monkeypatch):
+    shares, settling = [], ann.settling
+
+    def seen(graph, delta):
+        last = graph.selectExpr("sum(replaced) r", "sum(size(nb)) n").collect()[0]
+        shares.append(last["r"] / last["n"])
+        return settling(graph, delta)
+
+    monkeypatch.setattr(ann, "settling", seen)
+    monkeypatch.setattr(ann, "CELL", 64)
+    x = np.random.default_rng(3).normal(size=(1500, 32)).astype(np.float32)
+    got = ann.nearest(frame(spark, x)).toPandas()
+    assert shares[-1] <= 0.005 < min(shares[:-1])
+    found = 0
+    for q, rows in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        found += len(set(np.argsort(-s, kind="stable")[:20]) & set(rows.vec_id))
+    assert found / len(got) >= 0.9
