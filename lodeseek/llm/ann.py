@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table, parts, release_shuffles, small_batches
+from .common import cut, drop_table, parts, release_shuffles
 from .vecdedup import good_vectors, whole_groups
 
 CELL = 2048
@@ -117,7 +117,6 @@ def build(vectors: DataFrame, degree: int = 32, sample: int = 12, cells: int = 8
             codes.append(((x @ planes) > 0) @ (1 << np.arange(bits)))
         return pd.Series(list(np.stack(codes, 1).astype(np.int32)))
 
-    small_batches(spark, 2048)
     coded = vectors.select("id", "h", F.posexplode(cell_codes("h")).alias("t", "code"))
     sizes = coded.groupBy("t", "code").agg(F.ceil(F.count("*") / CELL).cast("int").alias("pieces"))
     coded = coded.join(sizes, ["t", "code"]).withColumn("piece", F.pmod(F.xxhash64("id", "t"), F.col("pieces")).cast("int"))
@@ -217,7 +216,6 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 20
                 out.append((q, h, *merged(q, np.concatenate([np.asarray(ids, np.int64), more]), np.concatenate([np.asarray(s, np.float32), more_s]), all_done)))
             yield pd.DataFrame(out, columns=["q", "h", "ids", "s", "done", "go"])
 
-    small_batches(spark, 512)
     own = graph.select(F.col("id").alias("q"), F.col("nb.other").alias("ids"), F.col("nb.s").alias("s"))
     begun = queries.select(F.col("id").alias("q"), "h").join(own, "q", "left")
     now = cut(begun.mapInPandas(begin, state), "ann-beams") if fixed else cut(spark.createDataFrame([], state), "ann-beams")
@@ -249,7 +247,6 @@ def exact(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> D
 def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", **options) -> DataFrame:
     """Builds the graph over all vectors and searches it for those whose id is divisible by ``every``."""
     spark = df.sparkSession
-    small_batches(spark, 2048)
     vectors = cut(packed(good_vectors(df, id_col, vec_col)), "ann-vectors")
     graph = build(vectors)
     return search(vectors, graph, vectors.where(F.pmod(F.col("id"), F.lit(every)) == 0), k, **options)

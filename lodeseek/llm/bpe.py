@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches
+from .common import chunks
 
 #: The word pattern, white space, the bytes that stand for themselves and the mark of a word's end.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -196,7 +196,6 @@ def encode_decode(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Da
                     out.append((len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(shown.encode("utf-8", "surrogatepass")).hexdigest()))
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    small_batches(docs.sparkSession)
     found = docs.withColumn("_digests", digests(F.col(text_col)))
     for name in ("n_tokens", "ids_sha256", "decoded_sha256"):
         found = found.withColumn(name, F.col(f"_digests.{name}"))

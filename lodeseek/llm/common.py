@@ -8,21 +8,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: texts can be long, so batches are small.
-BATCH_ROWS = 256
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; our own only where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; our own only where it is unset and driver and
+    executors are one process (local tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodeseek-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/lodeseek/{spark.sparkContext.applicationId}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jpath)
+    fs.deleteOnExit(jpath)
+    return path
+
+
 def new_table(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/lodeseek/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -50,10 +59,6 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

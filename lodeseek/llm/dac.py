@@ -6,8 +6,8 @@ block of 512) leads from a position at one level to its position at the next.  S
 as it has chunks, and nothing else is decoded.
 
 A file is a Parquet table with one row a segment: ``part`` and ``seq`` (order of the segments), ``doc_ids`` and
-``doc_starts`` (where each document begins in the segment, with the end at last) and, for each level, ``chunks``,
-``bitmap`` and ``ranks``.  Documents are in ascending order of their ids over the segments; Spark reads and writes the
+``doc_starts`` (where each document begins in the segment, with the end at last), ``before`` (the ids of the part's
+earlier segments) and, for each level, ``chunks``, ``bitmap`` and ``ranks``.  Documents are in ascending order of their ids over the segments; Spark reads and writes the
 table wherever its storage is, and a segment holds about ``segment_ids`` ids, or a single longer document.
 
 Defined cases: a null or empty text has only its end id; equal rows are documents of their own, in order of their
@@ -20,16 +20,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, new_table, parts, small_batches
-from .word_cache import cached_encoder
+from .common import new_table, parts
+from .word_cache import cached_encoder, with_end
 
 BLOCK = 512
-SEGMENT = "part int, seq int, n_ids long, doc_ids binary, doc_starts binary, chunks array<binary>, bitmaps array<binary>, ranks array<binary>"
+SEGMENT = "part int, seq int, before long, n_ids long, doc_ids binary, doc_starts binary, chunks array<binary>, bitmaps array<binary>, ranks array<binary>"
+WRITTEN = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("doc_starts", pa.binary()), *[(name, pa.list_(pa.binary())) for name in ("chunks", "bitmaps", "ranks")]])
 NO_ID = -(2**63)
 
 
@@ -73,6 +74,14 @@ class Codes:
             at = ranks[block].astype(np.int64) + inside
         return out
 
+    def all(self) -> np.ndarray:
+        """All ids, level by level."""
+        out, live = self.chunks[0].astype(np.uint32), np.arange(len(self.chunks[0]))
+        for k in range(1, len(self.chunks)):
+            live = live[np.unpackbits(self.bitmaps[k - 1], count=len(live), bitorder="little").view(bool)]
+            out[live] |= self.chunks[k].astype(np.uint32) << np.uint32(8 * k)
+        return out
+
     def row(self) -> dict:
         return {"chunks": [x.tobytes() for x in self.chunks], "bitmaps": [x.tobytes() for x in self.bitmaps], "ranks": [x.tobytes() for x in self.ranks]}
 
@@ -84,65 +93,60 @@ class Codes:
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_ids: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text, appends ``end_id`` and writes the segments in ascending order of the documents' ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, seq = cached_encoder(tokenizer), TaskContext.get().partitionId(), 0
-        docs_in, ids_in, held = [], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part, seq, before = cached_encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        docs_in, lengths_in, ids_in, held = [], [], [], 0
 
-        def segment() -> pd.DataFrame:
+        def segment() -> pa.RecordBatch:
             ids = np.concatenate(ids_in)
-            starts = np.cumsum([0, *map(len, ids_in)]).astype("<u8")
-            row = {"part": part, "seq": seq, "n_ids": len(ids), "doc_ids": np.array(docs_in, "<i8").tobytes(), "doc_starts": starts.tobytes()}
-            return pd.DataFrame([row | Codes.encode(ids).row()])
+            starts = np.cumsum([0, *np.concatenate(lengths_in)]).astype("<u8")
+            row = {"part": part, "seq": seq, "before": before, "n_ids": len(ids), "doc_ids": np.concatenate(docs_in).astype("<i8").tobytes(), "doc_starts": starts.tobytes()}
+            return pa.RecordBatch.from_pylist([row | Codes.encode(ids).row()], WRITTEN)
 
         for batch in batches:
-            for at, texts in chunks(list(batch["text"])):
-                for i, ids in enumerate(encoder.encode(texts)):
-                    docs_in.append(batch["doc_id"].iat[at + i])
-                    ids_in.append(np.append(ids, np.uint32(end_id)))
-                    held += len(ids) + 1
+            doc_ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            for at, ids, ends, _, _ in encoder.blocks(batch["text"]):
+                ids, ends = with_end(ids, ends, end_id)
+                a = 0
+                while a < len(ends) - 1:  # whole documents until the segment is full
+                    z = min(len(ends) - 1, max(a + 1, int(np.searchsorted(ends, ends[a] + segment_ids - held))))
+                    docs_in.append(doc_ids[at + a : at + z])
+                    lengths_in.append(np.diff(ends[a : z + 1]))
+                    ids_in.append(ids[ends[a] : ends[z]])
+                    held += int(ends[z] - ends[a])
+                    a = z
                     if held >= segment_ids:
                         yield segment()
-                        docs_in, ids_in, held, seq = [], [], 0, seq + 1
+                        docs_in, lengths_in, ids_in, seq, before, held = [], [], [], seq + 1, before + held, 0
         if docs_in:
             yield segment()
 
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInPandas(run, SEGMENT).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(run, SEGMENT).write.option("compression", "zstd").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the file alone.
 
-    The ids before a segment: those of earlier parts (one sum a part goes through the driver) and of earlier segments
-    of its own part.
+    The ids before a segment: those of earlier parts (one sum a part goes through the driver) and those of earlier
+    segments of its own part, which its row names.  Segments are read where they are.
     """
     segments = spark.read.schema(SEGMENT).parquet(path)
-    sizes = segments.select("part", "seq", "n_ids")
-    totals = sorted((r["part"], r["n"]) for r in sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
-    starts = np.cumsum([0, *[n for _, n in totals]])
-    bases = spark.createDataFrame([(p, int(b)) for (p, _), b in zip(totals, starts, strict=False)], "part int, part_base long")
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).join(F.broadcast(bases), "part")
-    base = base.select("part", "seq", (F.col("before") + F.col("part_base")).alias("base"))  # three numbers a segment of half a million ids
-    placed = segments.join(base, ["part", "seq"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    totals = sorted((r["part"], r["n"]) for r in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    bases = spark.sparkContext.broadcast(dict(zip([p for p, _ in totals], np.cumsum([0, *[n for _, n in totals]]).tolist(), strict=False)))  # a number a part
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                codes = Codes.of(row.chunks, row.bitmaps, row.ranks)
-                starts, out = np.frombuffer(row.doc_starts, "<u8").astype(np.int64), []
-                for i, doc_id in enumerate(np.frombuffer(row.doc_ids, "<i8").tolist()):
-                    ids = codes.read(np.arange(starts[i], starts[i + 1]))
-                    out.append((doc_id, int(row.base + starts[i]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    small_batches(spark, 4)
-    out = placed.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                raw = memoryview(Codes.of(row["chunks"], row["bitmaps"], []).all().astype("<u4")).cast("B")
+                starts = np.frombuffer(row["doc_starts"], "<u8").astype(np.int64)
+                crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+                columns = [np.frombuffer(row["doc_ids"], "<i8"), starts[:-1] + (bases.value[row["part"]] + row["before"]), np.diff(starts), np.array(crc, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    out = segments.select("part", "before", "doc_ids", "doc_starts", "chunks", "bitmaps").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches
+from .common import chunks
 
 WORD = regex.compile(r"\p{L}+")
 WIDTH = 20  # characters of a word that features look at: its first 10 and last 10
@@ -233,6 +233,5 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
                 scores += list(b)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    small_batches(docs.sparkSession)
     found = docs.withColumn("_found", labelled(F.col(text_col)))
     return found.withColumn("lang_pred", F.col("_found.lang_pred")).withColumn("score", F.col("_found.score")).drop("_found")

@@ -23,7 +23,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 from .neardup import MIX, STEP, mixed, word_hashes
 
 #: Notices by which licenses are declared, as published by their stewards.
@@ -126,6 +125,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = 5, l
         for texts in batches:
             yield pd.Series([[dict(zip(("license", "containment", "first_word", "n_words"), m, strict=True)) for m in known.scan(t)] for t in texts], dtype=object)
 
-    small_batches(docs.sparkSession)
     rows_ = docs.select(F.col(id_col).alias("doc_id"), F.explode(found(F.col(text_col))).alias("m"))
     return rows_.select("doc_id", "m.*")

@@ -18,12 +18,12 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, parts, small_batches
-from .word_cache import cached_encoder
+from .common import cut, parts
+from .word_cache import cached_encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, twin long"
 
@@ -110,29 +110,34 @@ def place(rules: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.n
     return rule[:, 4] + nth // rule[:, 3], rule[:, 5] + nth % rule[:, 3] * length
 
 
+def cut_into_pieces(length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of the pieces of documents of those lengths: all of ``capacity`` ids but the
+    first, which may be shorter."""
+    n = -(-length // capacity)
+    doc = np.repeat(np.arange(len(length)), n)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    end = length[doc] - (n[doc] - 1 - piece) * capacity
+    start = np.maximum(end - capacity, 0)
+    return doc, piece, start, end - start
+
+
 def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
-    """The pieces of all documents: all of ``capacity`` ids but the first, which may be shorter."""
+    """The pieces of all documents, with the checksums of their ids and of the text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = cached_encoder(tokenizer)
         for batch in batches:
-            for at, texts in chunks([t or "" for t in batch["text"]]):
-                out = []
-                for i, (text, ids) in enumerate(zip(texts, encoder.encode(texts), strict=True)):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    raw, doc_id = memoryview(ids.tobytes()), batch["doc_id"].iat[at + i]
-                    start, twin = 0, zlib.crc32(text.encode("utf-8", "surrogatepass"))
-                    end = len(ids) % capacity or min(capacity, len(ids))
-                    piece = 0
-                    while start < len(ids):
-                        out.append((doc_id, piece, start, end - start, zlib.crc32(raw[4 * start : 4 * end]), twin))
-                        start, end, piece = end, end + capacity, piece + 1
-                frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "twin"])
-                frame["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in frame["doc_id"]], "Int64")
-                yield frame
-
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, PIECES)
+            for at, ids, ends, data, data_ends in encoder.blocks(batch["text"]):
+                ids, ends = with_end(ids, ends, end_id)
+                doc, piece, start, length = cut_into_pieces(np.diff(ends), capacity)
+                raw, text = memoryview(ids).cast("B"), memoryview(np.ascontiguousarray(data))
+                first = ends[doc] + start
+                crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(first.tolist(), (first + length).tolist(), strict=True)]
+                twin = np.array([zlib.crc32(text[a:z]) for a, z in zip(data_ends.tolist(), data_ends[1:].tolist(), strict=False)], np.int64)
+                columns = [batch["doc_id"].take(pa.array(at + doc)), piece.astype(np.int32), start, length, np.array(crc, np.int64), twin[doc]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "piece", "start", "length", "ids_crc32", "twin"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,14 +159,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     ranked = pieces.withColumn("nth", F.row_number().over(within) - 1).join(base, ["length", "bucket"])
     shared = spark.sparkContext.broadcast(rules)  # bounded by the capacity, not by the corpus
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                b["sequence_id"], b["offset"] = place(shared.value, b["length"].to_numpy(), b.pop("rank").to_numpy())
-                yield b
+            if b.num_rows:
+                at = place(shared.value, b["length"].to_numpy(), b["rank"].to_numpy())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, at)], [*columns, "sequence_id", "offset"])
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ranked = ranked.select(*columns, (F.col("base") + F.col("nth")).alias("rank"))
-    # a nullable id would reach pandas as a float: it passes as text
-    out = ranked.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

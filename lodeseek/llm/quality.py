@@ -22,7 +22,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 LOWER, UPPER, DIGITS = regex.compile(r"\p{Ll}+"), regex.compile(r"\p{Lu}+"), regex.compile(r"\d+")
 AGAIN = regex.compile(r"(?<!\S)(\S+)(?: \1(?!\S))++")
@@ -134,6 +133,5 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.7, text_col
         for texts in batches:
             yield pd.Series(model.probability(model.raw(list(texts), compressors)))
 
-    small_batches(docs.sparkSession)
     out = docs.withColumn("score", scored(F.col(text_col)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

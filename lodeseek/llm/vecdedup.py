@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts, small_batches
+from .common import cut, parts
 from .graph import components
 
 
@@ -170,7 +170,6 @@ def _links(classes: DataFrame, d: int, least: float, tile: int, fit_rows: int) -
         codes = model.value.codes(unit(vs))[:, : tables * bits].reshape(len(vs), tables, bits)
         return pd.Series(list((codes @ powers).astype(np.int32)))
 
-    small_batches(spark, 1024)
     coded = cut(classes.select("rep", "copies", "v", substrings("v").alias("code")), "vector-codes")
     filed = coded.select("rep", F.posexplode("code").alias("t", "key"))
     counts = filed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -186,7 +185,6 @@ def _links(classes: DataFrame, d: int, least: float, tile: int, fit_rows: int) -
         for block in whole_groups(batches, ["t", "key", "i", "j"]):
             yield compare_tiles(block, least)
 
-    small_batches(spark, 4096)
     found = cut(dealt.mapInPandas(run, "a long, b long, links long"), "vector-links")
     links = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     return links, found.where("links = 0").select("a", "b")
