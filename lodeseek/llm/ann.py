@@ -6,15 +6,23 @@ vectors; all pairs among them of which one is new are compared, and each vector
 round samples a bounded number of neighbours in each direction, so that it costs the same a vector at any size; rounds
 follow until one replaces at most a share ``delta`` of all neighbours, as many as the table needs.
 
-Search: a node's row holds its neighbours with their vectors in half precision.  Each query keeps a beam of the best
-nodes seen (beam_of, it grows with the table), begun with its own neighbours, if it is in the index, and with fixed entry nodes; in each round the best
-nodes that were not expanded yet are joined with their rows and their neighbours scored.  It ends when no beam
-holds a node that was not expanded.  The best of each beam are scored on the original vectors in double precision.
+Search: a node's row holds its neighbours with their vectors.  Each query keeps a beam of the best nodes seen (beam_of,
+it grows with the table), begun with its own neighbours, if it is in the index, and with fixed entry nodes; in each
+round the best nodes that were not expanded yet are joined with their rows and their neighbours scored.  Nodes that
+many queries ask for at once (fewer than HOT of them, by the number of requests) are broadcast, so that no task gets
+all requests for one node.  It ends when no beam holds a node that was not expanded.  The best of each beam are scored
+on the original vectors in double precision.  The node rows are persisted on the executors; what is lost with one of
+them is read again from its written table.
+
+Vectors are compared in single precision, each scaled by its largest component, and the product is scaled back in
+double precision: vectors of very different length do not lose their digits.  Equal vectors are one node, which holds
+the ``k + 1`` smallest ids of the rows that have it; no other row of theirs can be among the ``k`` nearest.  A query
+stands for all rows of its node.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor those of
-another length than most; a query is never its own candidate, nor are rows of equal id; ties go to the smaller id;
-null ids take no part, and of rows of equal id one does; with fewer candidates than asked for, all are returned; an
-empty table gives an empty result.
+another length than most (of equally frequent lengths the smaller is taken); a query is never its own candidate; ties
+go to the smaller id; null ids take no part, and of rows of equal id the one whose vector's hash is smallest does; with
+fewer candidates than asked for, all are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,36 +38,56 @@ from .common import cut, drop_table, parts, release_shuffles
 from .vecdedup import good_vectors, whole_groups
 
 CELL = 2048
-FOUND = "id long, other long, s float"
+HOT = 256
+FOUND = "id long, other long, s double"
 
 
 def packed(df: DataFrame) -> DataFrame:
-    """(id, v, h): vectors of the usual length, and in half precision as bytes, scaled by a common factor."""
-    d = df.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    usual = df.where(F.size("v") == (d[0]["d"] if d else 0)).dropDuplicates(["id"])
-    top = usual.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("m")).collect()[0]["m"] or 1.0
-
-    @F.pandas_udf("binary")
-    def half(vs: pd.Series) -> pd.Series:
-        return pd.Series([(np.asarray(v, np.float64) / top).astype(np.float16).tobytes() for v in vs], dtype=object)
-
-    return usual.withColumn("h", half("v"))
+    """df with ``h`` and ``w``: each vector in single precision as bytes, scaled by its largest component, and that."""
+
+    @F.pandas_udf("h binary, w double")
+    def scaled(vs: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in vs:
+            x = np.asarray(v, np.float64)
+            top = np.abs(x).max()
+            out.append(((x / top).astype(np.float32).tobytes(), top))
+        return pd.DataFrame(out, columns=["h", "w"])
+
+    return df.withColumn("_s", scaled("v")).withColumns({"h": F.col("_s.h"), "w": F.col("_s.w")}).drop("_s")
+
+
+def distinct_vectors(df: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(id, v, ids) of every different vector of the usual length, named by its smallest id, with its k + 1 smallest
+    ids; (row, id): the rows and their vectors' names."""
+    sizes = df.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    usual = df.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
+    keyed = usual.select("id", F.struct(F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("vector"), F.col("v")).alias("h2"), "v").alias("x"))
+    keyed = cut(keyed.groupBy("id").agg(F.min("x").alias("x")).select("id", "x.*"), "ann-rows")
+    first = Window.partitionBy("h1", "h2").orderBy("id")
+    some = keyed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+    nodes = some.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.min_by("v", "id").alias("v"), F.sort_array(F.collect_list("id")).alias("ids"))
+    nodes = cut(packed(nodes.select("h1", "h2", F.col("node").alias("id"), "v", "ids")), "ann-vectors")
+    rows = keyed.select("h1", "h2", F.col("id").alias("row")).join(nodes.select("h1", "h2", "id"), ["h1", "h2"]).select("row", "id")
+    return nodes.drop("h1", "h2"), rows
 
 
 def matrix(raw) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.float16).reshape(len(raw), -1).astype(np.float32)
+    return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)
 
 
 def joined(block: pd.DataFrame, by: list[str], keep: int) -> pd.DataFrame:
-    """All pairs within the groups of a block, of which one is new: for each row its best ``keep`` that beat its floor."""
+    """All pairs within the groups of a block, of which one is new: for each row its best ``keep`` that beat its floor;
+    of an id in many groups, the best ``keep`` of the block."""
     keys = block[by].to_numpy()
     edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(block)]
-    x, ids, new, floor = matrix(list(block["h"])), block["id"].to_numpy(np.int64), block["fresh"].to_numpy(bool), block["floor"].to_numpy(np.float32)
+    x, ids, new, floor = matrix(list(block["h"])), block["id"].to_numpy(np.int64), block["fresh"].to_numpy(bool), block["floor"].to_numpy(np.float64)
+    weight = block["w"].to_numpy(np.float64)
     out = []
     for a, b in zip(edges, edges[1:], strict=False):
         if b - a < 2:
             continue
-        s = x[a:b] @ x[a:b].T
+        s = (x[a:b] @ x[a:b].T) * weight[a:b, None] * weight[None, a:b]
         np.fill_diagonal(s, -np.inf)
         s[~(new[a:b, None] | new[None, a:b])] = -np.inf
         if b - a > keep:
@@ -69,9 +97,16 @@ def joined(block: pd.DataFrame, by: list[str], keep: int) -> pd.DataFrame:
         score = np.take_along_axis(s, best, 1)
         row, col = np.nonzero(score > floor[a:b, None])
         out.append((ids[a:b][row], ids[a:b][best[row, col]], score[row, col]))
-    if not out:
-        return pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "s": np.zeros(0, np.float32)})
-    return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("id", "other", "s"), zip(*out, strict=True), strict=True)})
+    if not any(len(one) for one, _, _ in out):
+        return pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "s": np.zeros(0)})
+    one, other, s = (np.concatenate(c) for c in zip(*out, strict=True))
+    order = np.lexsort((other, one))
+    order = order[np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (other[order][1:] != other[order][:-1])])]
+    order = order[np.lexsort((-s[order], one[order]))]
+    begun = np.concatenate([[True], one[order][1:] != one[order][:-1]])
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(begun, np.arange(len(order)), 0))
+    order = order[rank < keep]
+    return pd.DataFrame({"id": one[order], "other": other[order], "s": s[order]})
 
 
 def local_join(df: DataFrame, by: list[str], keep: int) -> DataFrame:
@@ -101,7 +136,7 @@ def settling(graph: DataFrame, delta: float) -> bool:
 
 
 def build(vectors: DataFrame, degree: int = 32, sample: int = 12, cells: int = 8, delta: float = 0.005) -> DataFrame:
-    """(id, nb) of every vector (id, v, h)."""
+    """(id, nb) of every vector (id, h, w)."""
     spark = vectors.sparkSession
     n = vectors.count()
     bits = int(max(0, np.round(np.log2(max(n, 1) / CELL))))
@@ -117,11 +152,11 @@ def build(vectors: DataFrame, degree: int = 32, sample: int = 12, cells: int = 8
             codes.append(((x @ planes) > 0) @ (1 << np.arange(bits)))
         return pd.Series(list(np.stack(codes, 1).astype(np.int32)))
 
-    coded = vectors.select("id", "h", F.posexplode(cell_codes("h")).alias("t", "code"))
+    coded = vectors.select("id", "h", "w", F.posexplode(cell_codes("h")).alias("t", "code"))
     sizes = coded.groupBy("t", "code").agg(F.ceil(F.count("*") / CELL).cast("int").alias("pieces"))
     coded = coded.join(sizes, ["t", "code"]).withColumn("piece", F.pmod(F.xxhash64("id", "t"), F.col("pieces")).cast("int"))
-    coded = coded.withColumns({"fresh": F.lit(True), "floor": F.lit(float("-inf")).cast("float")})
-    started = local_join(coded.select("t", "code", "piece", "id", "h", "fresh", "floor"), ["t", "code", "piece"], degree)
+    coded = coded.withColumns({"fresh": F.lit(True), "floor": F.lit(float("-inf"))})
+    started = local_join(coded.select("t", "code", "piece", "id", "h", "w", "fresh", "floor"), ["t", "code", "piece"], degree)
     graph = cut(best_of(started.withColumns({"fresh": F.lit(True), "new": F.lit(True)}), degree), "ann-graph")
     while settling(graph, delta):
         some = F.slice(F.filter("nb", lambda x: x["fresh"]), 1, sample)
@@ -130,9 +165,9 @@ def build(vectors: DataFrame, degree: int = 32, sample: int = 12, cells: int = 8
         order = Window.partitionBy("c", "fresh").orderBy(F.xxhash64("c", "m"), "m")
         back = picked.select(F.col("m").alias("c"), F.col("c").alias("m"), "fresh").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).drop("r")
         members = picked.union(back).groupBy("c", "m").agg(F.max("fresh").alias("fresh"))
-        floors = graph.select("id", F.when(F.size("nb") >= degree, F.element_at("nb", -1)["s"]).otherwise(F.lit(float("-inf"))).cast("float").alias("floor"))
-        known = vectors.select("id", "h").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")).cast("float")))
-        with_vectors = members.join(known, members["m"] == known["id"]).select("c", "id", "h", "fresh", "floor")
+        floors = graph.select("id", F.when(F.size("nb") >= degree, F.element_at("nb", -1)["s"]).otherwise(F.lit(float("-inf"))).alias("floor"))
+        known = vectors.select("id", "h", "w").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        with_vectors = members.join(known, members["m"] == known["id"]).select("c", "id", "h", "w", "fresh", "floor")
         found = local_join(with_vectors, ["c"], degree).withColumns({"fresh": F.lit(True), "new": F.lit(True)})
         # those that were compared now are old from here on
         aged = graph.select("id", F.explode("nb").alias("e")).select("id", "e.other", "e.s", "e.fresh")
@@ -145,14 +180,16 @@ def build(vectors: DataFrame, degree: int = 32, sample: int = 12, cells: int = 8
 
 
 def node_rows(graph: DataFrame, vectors: DataFrame, forward: int, backward: int) -> DataFrame:
-    """(node, others, hs): the neighbours of each node, its own and some of those that have it, with their vectors."""
+    """(node, others, ws, hs): the neighbours of each node, its own and some of those that have it, with their vectors
+    in a row: at most forward + backward."""
     out = graph.select(F.col("id").alias("node"), F.explode(F.slice("nb", 1, forward)).alias("e")).select("node", F.col("e.other").alias("other"), F.col("e.s").alias("s"))
     order = Window.partitionBy("node").orderBy(F.desc("s"), "other")
     back = out.select(F.col("other").alias("node"), F.col("node").alias("other"), "s").withColumn("r", F.row_number().over(order)).where(F.col("r") <= backward).drop("r")
-    both = out.union(back).groupBy("node", "other").agg(F.first("s").alias("s"))
-    full = both.join(vectors.select(F.col("id").alias("other"), "h"), "other")
-    full = full.groupBy("node").agg(F.collect_list(F.struct("other", "h")).alias("es"))  # at most forward + backward
-    return full.select("node", F.col("es.other").alias("others"), F.array_join(F.transform("es.h", lambda h: F.hex(h)), "").alias("x")).select("node", "others", F.unhex("x").alias("hs"))
+    both = out.union(back).select("node", "other").distinct()
+    full = both.join(vectors.select(F.col("id").alias("other"), "h", "w"), "other")
+    full = full.groupBy("node").agg(F.collect_list(F.struct("other", "h", "w")).alias("es"))
+    in_a_row = F.aggregate("es.h", F.lit(b""), lambda row, h: F.concat(row, h))
+    return full.select("node", F.col("es.other").alias("others"), F.col("es.w").alias("ws"), in_a_row.alias("hs"))
 
 
 def beam_of(n: int) -> int:
@@ -160,16 +197,28 @@ def beam_of(n: int) -> int:
     return max(160, int(np.ceil(160 * (n / 10_000) ** (1 / 3))))
 
 
-def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 20, beam: int | None = None, entries: int = 64, forward: int = 24, backward: int = 16) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` nearest found for each of queries (id, v, h)."""
+def requested(front: DataFrame, rows: DataFrame, total: int) -> DataFrame:
+    """front (node, ...) of ``total`` rows with the rows of its nodes.  Nodes with more than 1 / HOT of the requests are
+    fewer than HOT: their rows are broadcast."""
+    most = max(4096, total // HOT)
+    counts = front.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > most) if total > most else None
+    hot = [r["node"] for r in counts.collect()] if counts is not None else []
+    cold = front.where(~F.col("node").isin(hot)) if hot else front
+    found = cold.hint("shuffle_hash").join(rows, "node")
+    if hot:
+        found = found.unionByName(front.where(F.col("node").isin(hot)).join(F.broadcast(rows.where(F.col("node").isin(hot))), "node"))
+    return found
+
+
+def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, beam: int | None = None, entries: int = 64, forward: int = 24, backward: int = 16) -> DataFrame:
+    """(q, ids): the nodes of the beam of each of queries (id, h, w), nearest first."""
     spark = vectors.sparkSession
     beam = beam or beam_of(vectors.count())
     width = max(16, beam // 10)
-    rows = node_rows(graph, vectors, forward, backward)
-    rows = cut(rows, "ann-nodes").repartition(parts(spark), "node").persist()
-    fixed = vectors.select("id", "h").orderBy(F.xxhash64("id"), "id").limit(entries).collect()
+    rows = cut(node_rows(graph, vectors, forward, backward), "ann-nodes").repartition(parts(spark), "node").persist()
+    fixed = vectors.select("id", "h", "w").orderBy(F.xxhash64("id"), "id").limit(entries).collect()
     entry_ids = np.array([r["id"] for r in fixed], np.int64)
-    entry_x = matrix([bytes(r["h"]) for r in fixed]) if fixed else None
+    entry_x, entry_w = matrix([bytes(r["h"]) for r in fixed]) if fixed else None, np.array([r["w"] for r in fixed])
 
     def merged(q: int, ids: np.ndarray, s: np.ndarray, done: np.ndarray) -> tuple:
         """The best of a beam, each node once (an expanded copy wins), and whether any waits."""
@@ -184,69 +233,78 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 20
         done[go] = True
         return ids.tolist(), s.tolist(), done.tolist(), ids[go].tolist()
 
-    state = "q long, h binary, ids array<long>, s array<float>, done array<boolean>, go array<long>"
+    state = "q long, h binary, w double, ids array<long>, s array<double>, done array<boolean>, go array<long>"
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for q, h, ids, s in zip(b["q"], b["h"], b["ids"], b["s"], strict=True):
-                more = entry_x @ matrix([h])[0]
+            for q, h, w, ids, s in zip(b["q"], b["h"], b["w"], b["ids"], b["s"], strict=True):
+                more = (entry_x @ matrix([h])[0]) * entry_w * w
                 ids = np.concatenate([np.asarray(ids if ids is not None else [], np.int64), entry_ids])
-                s = np.concatenate([np.asarray(s if s is not None else [], np.float32), more])
-                out.append((q, h, *merged(q, ids, s, np.zeros(len(ids), bool))))
-            yield pd.DataFrame(out, columns=["q", "h", "ids", "s", "done", "go"])
+                s = np.concatenate([np.asarray(s if s is not None else [], np.float64), more])
+                out.append((q, h, w, *merged(q, ids, s, np.zeros(len(ids), bool))))
+            yield pd.DataFrame(out, columns=["q", "h", "w", "ids", "s", "done", "go"])
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for q, h, floor, others, hs in zip(b["q"], b["h"], b["floor"], b["others"], b["hs"], strict=True):
-                s = np.frombuffer(hs, np.float16).reshape(len(others), -1).astype(np.float32) @ matrix([h])[0]
+            for q, h, w, floor, others, ws, hs in zip(b["q"], b["h"], b["w"], b["floor"], b["others"], b["ws"], b["hs"], strict=True):
+                s = (np.frombuffer(hs, np.float32).reshape(len(others), -1) @ matrix([h])[0]) * ws * w
                 ok = s > floor
                 if ok.any():
-                    out.append((q, np.asarray(others)[ok].tolist(), s[ok].tolist()))
+                    out.append((q, others[ok], s[ok]))
             yield pd.DataFrame(out, columns=["q", "ids", "s"])
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for q, h, ids, s, done, new_ids, new_s in zip(b["q"], b["h"], b["ids"], b["s"], b["done"], b["new_ids"], b["new_s"], strict=True):
+            for q, h, w, ids, s, done, new_ids, new_s in zip(b["q"], b["h"], b["w"], b["ids"], b["s"], b["done"], b["new_ids"], b["new_s"], strict=True):
                 more = np.concatenate([np.asarray(x, np.int64) for x in new_ids]) if new_ids is not None and len(new_ids) else np.zeros(0, np.int64)
-                more_s = np.concatenate([np.asarray(x, np.float32) for x in new_s]) if new_s is not None and len(new_s) else np.zeros(0, np.float32)
+                more_s = np.concatenate([np.asarray(x, np.float64) for x in new_s]) if new_s is not None and len(new_s) else np.zeros(0)
                 all_done = np.concatenate([np.asarray(done, bool), np.zeros(len(more), bool)])
-                out.append((q, h, *merged(q, np.concatenate([np.asarray(ids, np.int64), more]), np.concatenate([np.asarray(s, np.float32), more_s]), all_done)))
-            yield pd.DataFrame(out, columns=["q", "h", "ids", "s", "done", "go"])
+                out.append((q, h, w, *merged(q, np.concatenate([np.asarray(ids, np.int64), more]), np.concatenate([np.asarray(s, np.float64), more_s]), all_done)))
+            yield pd.DataFrame(out, columns=["q", "h", "w", "ids", "s", "done", "go"])
 
     own = graph.select(F.col("id").alias("q"), F.col("nb.other").alias("ids"), F.col("nb.s").alias("s"))
-    begun = queries.select(F.col("id").alias("q"), "h").join(own, "q", "left")
+    begun = queries.select(F.col("id").alias("q"), "h", "w").join(own, "q", "left")
     now = cut(begun.mapInPandas(begin, state), "ann-beams") if fixed else cut(spark.createDataFrame([], state), "ann-beams")
-    while True:  # a node that left a beam is below its floor and cannot return, so this ends
-        floor = F.when(F.size("ids") >= beam, F.element_at("s", -1)).otherwise(F.lit(float("-inf"))).cast("float")
-        front = now.select("q", "h", floor.alias("floor"), F.explode("go").alias("node"))
-        if front.isEmpty():
-            break
-        scored = front.hint("shuffle_hash").join(rows, "node").select("q", "h", "floor", "others", "hs").mapInPandas(expand, "q long, ids array<long>, s array<float>")
+    while total := now.agg(F.sum(F.size("go"))).collect()[0][0]:  # a node that left a beam is below its floor and cannot return, so this ends
+        floor = F.when(F.size("ids") >= beam, F.element_at("s", -1)).otherwise(F.lit(float("-inf")))
+        front = now.select("q", "h", "w", floor.alias("floor"), F.explode("go").alias("node"))
+        asked = requested(front, rows, total).select("q", "h", "w", "floor", "others", "ws", "hs")
+        scored = asked.mapInPandas(expand, "q long, ids array<long>, s array<double>")
         new = scored.groupBy("q").agg(F.collect_list("ids").alias("new_ids"), F.collect_list("s").alias("new_s"))  # at most width rows
         before, now = now, cut(now.drop("go").join(new, "q", "left").mapInPandas(step, state), "ann-beams")
         drop_table(before, spark)
     rows.unpersist()
-    best = now.select(F.col("q").alias("query_id"), F.explode(F.slice("ids", 1, 4 * k)).alias("vec_id"))
-    return exact(best, vectors, queries, k)
+    return now.select("q", "ids")
 
 
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda x, y: x + y)
 
 
-def exact(pairs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    full = pairs.join(vectors.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
-    scored = full.select("query_id", "vec_id", inner_product(F.col("qv"), F.col("v")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def exact(pairs: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(q, best): for the vector q of each of pairs (q, id), the best k + 1 rows (score, id) of the vectors paired."""
+    full = pairs.join(vectors.select("id", "v", "ids"), "id").join(vectors.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q")
+    scored = full.select("q", inner_product(F.col("qv"), F.col("v")).alias("score"), F.explode("ids").alias("id"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    top = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    return top.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "id", "score"))).alias("best"))
 
 
 def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", **options) -> DataFrame:
-    """Builds the graph over all vectors and searches it for those whose id is divisible by ``every``."""
+    """(query_id, rank, vec_id, score): builds the graph over all vectors and searches it for those rows whose id is
+    divisible by ``every``."""
     spark = df.sparkSession
-    vectors = cut(packed(good_vectors(df, id_col, vec_col)), "ann-vectors")
+    vectors, rows = distinct_vectors(good_vectors(df, id_col, vec_col), k)
     graph = build(vectors)
-    return search(vectors, graph, vectors.where(F.pmod(F.col("id"), F.lit(every)) == 0), k, **options)
+    asked = cut(rows.where(F.pmod(F.col("row"), F.lit(every)) == 0).select(F.col("row").alias("query_id"), F.col("id").alias("q")), "ann-queries")
+    beams = search(vectors, graph, vectors.join(asked.select(F.col("q").alias("id")).distinct(), "id", "left_semi"), **options)
+    # a vector's other rows are candidates as well
+    pairs = beams.select("q", F.explode(F.array_append(F.slice("ids", 1, 4 * k), F.col("q"))).alias("id"))
+    best = cut(exact(pairs, vectors, k), "ann-best")
+    drop_table(graph, spark)
+    others = F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k)
+    found = asked.join(best, "q").select("query_id", F.posexplode(others).alias("at", "e"))
+    return found.select("query_id", (F.col("at") + 1).alias("rank"), F.col("e.id").alias("vec_id"), F.col("e.score").alias("score"))

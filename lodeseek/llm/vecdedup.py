@@ -6,8 +6,10 @@ Codes whose Hamming distance is below the number of tables agree in one of them
 are compared by cosine on the original vectors, in double precision, and counted in the first table where they meet.
 
 Equal vectors are one class and stand in for each other with their number.  A bucket is cut into tiles by a hash, and
-pairs of tiles are compared as matrices; a pair of tiles returns sums of links a vector and a spanning forest of its
-links, never the links.  So hot buckets spread over many tasks, and no bucket is capped.
+pairs of tiles are compared as matrices; a pair of tiles returns sums of links a vector and a spanning
+forest of its links, never the links.  So hot buckets spread over many tasks, and no bucket is capped.  Tiles of large
+buckets are larger, as a vector travels once for every tile of its bucket.  Vectors of equal codes are compared in the
+first table alone: later on, buckets of a single code are left out.
 
 Recall: centring widens the angle of a pair, so the share of bits that differ is measured on the sample, on pairs made
 to lie exactly at the threshold (bit_errors).  The number of tables follows from it: such pairs are missed with a mean
@@ -15,8 +17,8 @@ probability of 1 / 2000 at most (fewest_tables).  The length of the substrings i
 vectors (fitted_shape); where one bucket with all vectors is cheaper than any tables, all pairs are compared.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-different lengths do not link; rows with equal ids are one vertex each way (links are summed by id); null ids stay
-alone; an empty table gives an empty result.
+different lengths do not link; every row is a vector of its own, so rows of equal id have each their own links, and
+equal rows link with each other; null ids stay alone; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ from .common import cut, parts
 from .graph import components
 
 
+#: Vectors in a tile of a large bucket.
+LARGE = 1024
+
+
 @dataclass
 class ITQ:
     mean: np.ndarray
@@ -65,10 +71,16 @@ def learn(x: np.ndarray, bits: int, rounds: int = 30) -> ITQ:
 
 def good_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v): rows that take part; floats stay floats until they are compared."""
+    return all_vectors(df, id_col, vec_col).where("fine").drop("fine")
+
+
+def all_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, v, fine) of every row; ``fine`` says which take part."""
     v = F.col(vec_col)
     v = v if df.schema[vec_col].dataType.simpleString() == "array<float>" else v.cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null").where(fine)
+    named = F.col(id_col).isNotNull() & v.isNotNull()
+    return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(named & fine, F.lit(False)).alias("fine"))
 
 
 def unit(rows) -> np.ndarray:
@@ -80,37 +92,27 @@ def unit(rows) -> np.ndarray:
 def near_duplicate_vectors(df: DataFrame, least: float = 0.95, tile: int = 128, fit_rows: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.  ITQ is fitted on at most ``fit_rows`` vectors, chosen by a
     hash of their ids; all vectors are indexed."""
-    spark = df.sparkSession
-    good = good_vectors(df, id_col, vec_col)
-    good = good.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("vector"), F.col("v")), "d": F.size("v")})
-    classes = good.groupBy("d", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    classes = cut(classes, "vector-classes")
+    keys = [F.when(F.col("fine"), x).alias(n) for n, x in (("d", F.size("v")), ("h1", F.xxhash64("v")), ("h2", F.xxhash64(F.lit("vector"), F.col("v"))))]
+    rows = all_vectors(df, id_col, vec_col).select("id", "v", *keys)
+    classes = rows.where("d is not null").groupBy("d", "h1", "h2").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")  # written, so that the numbers stay
     sizes = [r["d"] for r in classes.select("d").distinct().collect()]  # vector lengths, a handful
     out, edges = None, None
     for d in sizes:
         links, forest = _links(classes.where(F.col("d") == d), d, least, tile, fit_rows)
         out, edges = (links, forest) if out is None else (out.unionByName(links), edges.unionByName(forest))
-    ids = df.select(F.col(id_col).cast("long").alias("vec_id"))
     if out is None:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    groups = components(edges)
-    of_class = classes.select("d", "h1", "h2", "rep", "copies").join(out, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    of_class = of_class.select("d", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    of_row = good.select("id", "d", "h1", "h2").join(of_class, ["d", "h1", "h2"]).groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    full = ids.join(of_row, ids["vec_id"] == of_row["id"], "left")
+        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    named = classes.select("rep", "least_id").join(components(edges), F.col("rep") == F.col("node")).select("rep", "least_id", "component")
+    names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    groups = named.join(names, "component").select("rep", "component_id")
+    of_class = classes.select("d", "h1", "h2", "rep", "least_id", "copies").join(out, "rep", "left").join(groups, "rep", "left")
+    of_class = of_class.select("d", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id"))
+    full = rows.select(F.col("id").alias("vec_id"), "d", "h1", "h2").join(of_class, ["d", "h1", "h2"], "left")
     full = full.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return full.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def index_shape(n: int, least: float) -> tuple[int, int]:
-    """(tables, bits): substrings long enough that chance fills a bucket with about 16 vectors, and so many tables
-    that a pair at the threshold, whose bits differ with probability arccos(least) / pi, misses all of them with a
-    probability of at most 1 / 2000."""
-    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) - 4, 8, 20))
-    meet = (1 - np.arccos(np.clip(least, -1, 1)) / np.pi) ** bits
-    return (int(np.ceil(np.log(1 / 2000) / np.log1p(-meet))) if meet < 1 else 1), bits
-
-
 def bit_errors(model: ITQ, x: np.ndarray, least: float, rows: int = 2000) -> np.ndarray:
     """Share of bits that differ between vectors of the sample and others at a cosine of ``least`` to them, off in any
     direction and off towards another vector of the sample: (2, rows)."""
@@ -141,7 +143,8 @@ def fitted_shape(n: int, d: int, errors: np.ndarray, tile: int) -> tuple[int, in
     """(tables, bits) that move the fewest bytes: each table moves a vector and its earlier codes once for every tile
     of its bucket.  (1, 0) compares all pairs."""
     cost = lambda tables, bits: tables * (1 + n / 2**bits / tile) * (4 * d + 2 * tables + 40)
-    shapes = [(1, 0)] + [(t, bits) for bits in range(4, 21) if (t := fewest_tables(errors, bits)) <= 1 << 14]
+    most = int(np.clip(np.ceil(np.log2(max(n, 2))), 20, 30))  # substrings lengthen with the table, so that buckets do not grow
+    shapes = [(1, 0)] + [(t, bits) for bits in range(4, most + 1) if (t := fewest_tables(errors, bits)) <= 1 << 14]
     return min(shapes, key=lambda s: cost(*s))
 
 
@@ -170,10 +173,14 @@ def _links(classes: DataFrame, d: int, least: float, tile: int, fit_rows: int) -
         codes = model.value.codes(unit(vs))[:, : tables * bits].reshape(len(vs), tables, bits)
         return pd.Series(list((codes @ powers).astype(np.int32)))
 
-    coded = cut(classes.select("rep", "copies", "v", substrings("v").alias("code")), "vector-codes")
-    filed = coded.select("rep", F.posexplode("code").alias("t", "key"))
-    counts = filed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    filed = filed.join(counts, ["t", "key"]).withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
+    coded = cut(classes.select("rep", "copies", "v", substrings("v").alias("code")).withColumn("whole", F.xxhash64("code")), "vector-codes")
+    filed = coded.select("rep", "whole", F.posexplode("code").alias("t", "key"))
+    counts = filed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("whole").alias("x"), F.max("whole").alias("y"))
+    counts = counts.where((F.col("n") > 1) & ((F.col("t") == 0) | (F.col("x") != F.col("y")))).select("t", "key", "n")
+    filed = filed.join(counts, ["t", "key"])
+    # tiles of up to LARGE vectors where a bucket has many of them
+    size = F.least(F.lit(LARGE), F.greatest(F.lit(tile), F.col("n") / 8))
+    filed = filed.withColumn("tiles", F.ceil(F.col("n") / size).cast("int"))
     filed = filed.withColumn("tile", F.pmod(F.xxhash64("rep", "t"), F.col("tiles")).cast("int"))
     # each tile meets every tile of its bucket: as the left side in (i, j), as the right side in (j, i)
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least("tile", j).alias("i"), F.greatest("tile", j).alias("j")))

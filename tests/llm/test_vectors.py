@@ -67,11 +67,25 @@ def test_links_of_nothing(spark):
     assert got == {None: (0, None, True), 1: (1, 1, True), 2: (1, 1, False)}
 
 
-def test_index_shape():
-    for n in (1, 100, 10**5, 10**9):
-        tables, bits = vecdedup.index_shape(n, 0.95)
-        meet = (1 - np.arccos(0.95) / np.pi) ** bits
-        assert (1 - meet) ** tables <= 1 / 2000 and 8 <= bits <= 20
+def test_links_of_repeated_ids(spark):
+    """Every row is a vector of its own, whatever its id."""
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=8), rng.normal(size=8)
+    near = lambda v: [float(c) for c in v + rng.normal(size=8) * 0.01]
+    rows = [(1, [float(c) for c in a]), (1, [float(c) for c in b]), (2, near(a)), (3, near(b)), (4, near(b)), (4, [-float(c) for c in b]), (4, [-float(c) for c in b])]
+    got = vecdedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95, tile=2)
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got.collect()) == sorted([(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (4, 1, 4, True), (4, 1, 4, True)])
+
+
+def test_links_within_clusters(spark):
+    """Tight clusters, whose buckets are large and mixed."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 64))
+    x = (centres[rng.integers(0, 6, 3000)] + rng.normal(size=(3000, 64)) * 0.225).astype(np.float32)
+    links, label = brute(x, 0.95)
+    got = vecdedup.near_duplicate_vectors(frame(spark, x), 0.95).toPandas().sort_values("vec_id")[: len(x)]
+    assert links.sum() and got.n_links.sum() >= 0.998 * links.sum() and (got.n_links <= links).all()
+    assert (got.component_id.to_numpy() == label).mean() >= 0.99
 
 
 def planted(n, norm, seed=0, pairs=1000, d=64):
@@ -136,6 +150,55 @@ def test_nearest_of_few(spark):
     assert [r["vec_id"] for r in ann.nearest(tied).orderBy("rank").collect()] == [3, 5, 7]
 
 
+def recall(spark, x, **options):
+    """The share of true neighbours found: rows whose score reaches the 20th best."""
+    got = ann.nearest(frame(spark, x, kind="double"), **options).toPandas()
+    found = 0
+    for q, rows in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(rows) == min(20, len(x) - 1)
+        found += (rows.score >= np.sort(s)[-20] * (1 - 1e-12)).sum()
+    return found / len(got)
+
+
+def shaped(kind, n, d=64):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, d))
+    if kind == "clusters":
+        x = rng.normal(size=(6, d))[rng.integers(0, 6, n)] + x * 0.1
+    elif kind == "copies":
+        x[: n // 3] = x[0]
+        x[n // 3 : n // 2] = x[n // 3] + rng.normal(size=(n // 2 - n // 3, d)) * 0.01
+    elif kind == "mixed":
+        x *= np.exp(rng.normal(size=(n, 1)) * 2)
+    elif kind == "outlier":
+        x[7] *= 1e9
+    return x
+
+
+@pytest.mark.parametrize("kind", ["scattered", "clusters", "copies", "mixed", "outlier"])
+def test_nearest_of_shapes(spark, kind):
+    assert recall(spark, shaped(kind, 2000)) >= 0.9
+
+
+def test_nearest_with_many_requests_for_one_node(spark, monkeypatch):
+    monkeypatch.setattr(ann, "HOT", 1 << 20)
+    real = ann.requested
+    monkeypatch.setattr(ann, "requested", lambda front, rows, total: real(front, rows, total << 20))  # more than 4096 in all
+    assert recall(spark, shaped("scattered", 600, 16), every=3) >= 0.9
+
+
+def test_nearest_of_copies(spark):
+    """Ties among more equal vectors than are asked for go to the smaller ids."""
+    x = np.concatenate([np.tile([[1.0, 2.0]], (100, 1)), [[0.5, 0.1], [3.0, 3.0]]])
+    got = ann.nearest(frame(spark, x, odd=[], kind="double"), every=50).toPandas()
+    assert set(got.query_id) == {0, 50, 100}
+    for q, want in ((0, [101, *range(1, 20)]), (50, [101, *range(19)]), (100, [101, *range(19)])):
+        rows = got[got.query_id == q].sort_values("rank")
+        assert rows.vec_id.tolist() == want and rows["rank"].tolist() == list(range(1, 21))
+
+
 def test_nearest_builds_until_settled(spark, monkeypatch):
     shares, settling = [], ann.settling
 
