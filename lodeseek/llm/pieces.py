@@ -11,10 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLANK, LINE_FEED = 32, 10
-#: Bytes that may begin white space other than blank and line feed: controls and the lead bytes of Unicode spaces.
-_SUSPECT = np.array([b < 32 and b != LINE_FEED or b in (127, 0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
+CONTROLS = np.array([b < 32 and b != LINE_FEED or b == 127 for b in range(256)])
+#: White space of one byte.
+NARROW = np.array([9 <= b <= 13 or b == BLANK for b in range(256)])
+#: Lead bytes of white space beyond ASCII.
+LEADS = np.array([b in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 
 
 def blocks(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -33,35 +37,37 @@ def blocks(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, np.nda
         at = to
 
 
-def odd_texts(data: np.ndarray, ends: np.ndarray, separator: np.ndarray) -> np.ndarray:
-    """Which texts of a block hold two separators in a row, controls or any other white space."""
-    odd = np.zeros(len(ends) - 1, bool)
+def of_texts(at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which texts of a block hold the bytes at these places."""
+    found = np.zeros(len(ends) - 1, bool)
+    found[np.searchsorted(ends, at, side="right") - 1] = True
+    return found
+
+
+def with_wide_spaces(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which texts of a block hold white space beyond ASCII."""
+    at = np.flatnonzero(LEADS[data])
+    lead, padded = data[at], np.concatenate([data, np.zeros(2, np.uint8)])
+    two, three = padded[at + 1], padded[at + 2]
+    space = (lead == 0xC2) & ((two == 0x85) | (two == 0xA0)) | (lead == 0xE1) & (two == 0x9A) & (three == 0x80) | (lead == 0xE3) & (two == 0x80) & (three == 0x80)
+    general = (two == 0x80) & ((three <= 0x8A) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF)) | (two == 0x81) & (three == 0x9F)
+    return of_texts(at[space | (lead == 0xE2) & general], ends)
+
+
+def with_runs(separator: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which texts of a block hold two separators in a row."""
     at = np.flatnonzero(separator)
     double = at[1:][at[1:] == at[:-1] + 1]
-    suspect = np.flatnonzero(_SUSPECT[data])
-    if len(suspect):
-        lead = data[suspect]
-        padded = np.concatenate([data, np.zeros(2, np.uint8)])
-        two, three = padded[suspect + 1], padded[suspect + 2]
-        space = (lead < 128) | (lead == 0xC2) & ((two == 0x85) | (two == 0xA0)) | (lead == 0xE1) & (two == 0x9A) & (three == 0x80) | (lead == 0xE3) & (two == 0x80) & (three == 0x80)
-        general = (two == 0x80) & ((three <= 0x8A) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF)) | (two == 0x81) & (three == 0x9F)
-        suspect = suspect[space | (lead == 0xE2) & general]
-    # the same text: a separator right after another one that ends the text before is no double
-    double = double[~np.isin(double, ends)]
-    for found in (double, suspect):
-        odd[np.searchsorted(ends, found, side="right") - 1] = True
-    return odd
-
-
-def pieces(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    return of_texts(double[~np.isin(double, ends)], ends)  # the first of a text follows none
+
+
+def pieces(data: np.ndarray, ends: np.ndarray, separator: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(upto, code, distinct): the number of pieces before the end of each text, each piece's place among the distinct
     ones, and those.  An odd text is one piece."""
-    separator = (data == BLANK) | (data == LINE_FEED)
-    odd = np.flatnonzero(odd_texts(data, ends, separator))
-    for i in odd.tolist():
+    separator = separator.copy()
+    for i in np.flatnonzero(odd).tolist():
         separator[ends[i] : ends[i + 1]] = False
-    some = ends[:-1][ends[1:] > ends[:-1]]
-    separator[some] = True
+    separator[ends[:-1][ends[1:] > ends[:-1]]] = True
     at = np.flatnonzero(separator)
     offsets = np.append(at, len(data)).astype(np.int64)
     upto = np.searchsorted(at, ends)
@@ -80,3 +86,44 @@ def gathered(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[n
     at = np.repeat(begin - (ends - length), length)
     at += np.arange(len(at))
     return flat[at], ends
+
+
+class PieceTable:
+    """A row of values for each piece of text between white space, made once for the first ``limit`` short pieces that
+    a worker meets; those of other pieces live for one block."""
+
+    SHORT = 48
+
+    def __init__(self, make, dtype, limit: int = 400_000):
+        self.make, self.limit = make, limit
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.starts = np.zeros(0, dtype), np.zeros(1, np.int64)
+
+    def block(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of all texts of a block in a row, and where each text's values end, led by 0."""
+        separator = NARROW[data]
+        upto, code, distinct = pieces(np.where(separator, np.uint8(BLANK), data), ends, separator, np.zeros(len(ends) - 1, bool))
+        at = pc.index_in(distinct, self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, starts = self.flat, self.starts
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            fresh = distinct.take(pa.array(missing))
+            rows = [self.make(p) for p in fresh.to_pylist()]
+            length = np.fromiter(map(len, rows), np.int64, len(rows))
+            new = np.fromiter((x for row in rows for x in row), flat.dtype, int(length.sum()))
+            at[missing] = len(starts) - 1 + np.arange(len(missing))
+            flat, starts = np.concatenate([flat, new]), np.concatenate([starts, starts[-1] + np.cumsum(length)])
+            if len(self.known) < self.limit:
+                short = pc.less_equal(pc.binary_length(fresh), self.SHORT).to_numpy(zero_copy_only=False)
+                self.known = pa.concat_arrays([self.known, fresh.filter(pa.array(short))])
+                self.flat = np.concatenate([self.flat, new[np.repeat(short, length)]])
+                self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(length[short])])
+        begin, length = starts[at], starts[at + 1] - starts[at]
+        row, value_ends = gathered(flat, begin[code], length[code])
+        return row, np.concatenate([[0], value_ends])[upto]
+
+    def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The values of each text."""
+        for _, data, ends in blocks(texts):
+            row, value_ends = self.block(data, ends)
+            yield from np.split(row, value_ends[1:-1])
