@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .pieces import blocks, gathered, pieces
+from .pieces import BLANK, CONTROLS, LINE_FEED, blocks, gathered, of_texts, pieces, with_runs, with_wide_spaces
 
 _LOADED: dict[tuple, CachedEncoder] = {}
 
@@ -84,7 +84,9 @@ class CachedEncoder:
         return order, np.concatenate([words, *more]).astype(np.uint32), ends.astype(np.int64)
 
     def _block(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        upto, code, distinct = pieces(data, ends)
+        separator = (data == BLANK) | (data == LINE_FEED)
+        odd = with_wide_spaces(data, ends) | with_runs(separator, ends) | of_texts(np.flatnonzero(CONTROLS[data]), ends)
+        upto, code, distinct = pieces(data, ends, separator, odd)
         if not len(distinct):
             return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
         at = pc.index_in(distinct, self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
