@@ -10,6 +10,9 @@ batches.  At the end all runs are merged once, and the settled keys are those of
 A key is the line without white space ``[\\x20\\x09-\\x0D]`` at its ends, with A-Z in lower case; keys are compared by 128
 hash bits.  A key counts once for each document (row) that has it.
 
+Runs can be kept: ``LineRuns.save`` names them in a folder, ``LineRuns.open`` goes on from there with later batches, and
+``drop_lines`` applies what they hold to any documents.
+
 Defined cases: a null or empty text is one empty line; keys shorter than ``min_chars`` code points are never common;
 a document whose lines all go has an empty text; equal rows are documents of their own; an empty table gives an
 empty result; other columns pass through, but ``n_lines``, ``n_dropped`` and the text are replaced.
@@ -43,9 +46,9 @@ def hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")]
 
 
-def keys_once(text: Column) -> Column:
-    """The distinct keys of a text's lines."""
-    return F.array_distinct(F.transform(lines_of(F.translate(text, UPPER, LOWER)), lambda x: F.btrim(x, F.lit(WHITE))))
+def keys_of(text: Column) -> Column:
+    """The keys of a text's lines, in their order."""
+    return F.transform(lines_of(F.translate(text, UPPER, LOWER)), lambda x: F.btrim(x, F.lit(WHITE)))
 
 
 class LineRuns:
@@ -83,28 +86,60 @@ class LineRuns:
         for run in [*runs, merged]:
             drop_table(run, self.spark)
 
+    def add_documents(self, docs: DataFrame, min_chars: int = 1, text_col: str = "text") -> None:
+        """Adds the lines of a batch of documents that no earlier batch had."""
+        key = F.explode(F.array_distinct(keys_of(F.coalesce(F.col(text_col), F.lit(""))))).alias("key")
+        self.add(docs.select(key).where(long_enough(min_chars)).select(*hashes(F.col("key"))).groupBy(*HASH).agg(F.count("*").alias("docs")))
+
     def common(self) -> DataFrame:
         """(h1, h2) of the keys in at least ``min_docs`` documents, each once, in a table."""
         runs = [r for rs in self.levels.values() for r in rs]
-        last = self._merge(runs).where(F.col("docs") >= self.min_docs).select(*HASH) if runs else None
-        out = cut(reduce(DataFrame.unionByName, [*self.settled, *([last] if last is not None else [])]), "line-common")
-        for run in [*runs, *self.settled]:
-            drop_table(run, self.spark)
+        last = [self._merge(runs).where(F.col("docs") >= self.min_docs).select(*HASH)] if runs else []
+        found = [*self.settled, *last] or [self.spark.createDataFrame([], "h1 long, h2 long")]
+        return cut(reduce(DataFrame.unionByName, found), "line-common")
+
+    def save(self, path: str) -> None:
+        """Writes the runs under ``path``, a new folder that all executors share."""
+        kept = [(level, i, run) for level, runs in [*self.levels.items(), (-1, self.settled)] for i, run in enumerate(runs)]
+        for level, i, run in kept:
+            run.write.parquet(f"{path}/run-{level}-{i}")
+        names = [(level, f"run-{level}-{i}") for level, i, _ in kept]
+        self.spark.createDataFrame([(self.min_docs, self.fanout, names)], "min_docs int, fanout int, runs array<struct<level int, name string>>").coalesce(1).write.json(f"{path}/runs")
+
+    @classmethod
+    def open(cls, spark, path: str) -> LineRuns:
+        """The runs that were saved under ``path``; their files stay as they are when runs are merged."""
+        said = spark.read.schema("min_docs int, fanout int, runs array<struct<level int, name string>>").json(f"{path}/runs").collect()[0]
+        out = cls(spark, said["min_docs"], said["fanout"])
+        for level, name in said["runs"] or []:
+            run = spark.read.schema("h1 long, h2 long" + (", docs long" if level >= 0 else "")).parquet(f"{path}/{name}")
+            (out.levels[level] if level >= 0 else out.settled).append(run)
         return out
 
+    def drop(self) -> None:
+        """Deletes the runs; saved ones stay."""
+        for run in [r for rs in self.levels.values() for r in rs] + self.settled:
+            drop_table(run, self.spark)
+        self.levels, self.settled = defaultdict(list), []
+
+
+def long_enough(min_chars: int) -> Column:
+    return F.col("key") != "" if min_chars <= 1 else F.char_length("key") >= min_chars
+
+
+def digest(id_col: str, text_col: str) -> list[Column]:
+    return [F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_d")]
+
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 8, fanout: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the lines whose keys are in at least ``min_docs`` documents, with ``n_lines`` and ``n_dropped``.
 
-    One pass over the texts writes the batches' counts, summed before the shuffle.  A second one looks up each
-    document's distinct keys; only the hits of a document go back to it, joined by its id and digest.
+    One pass over the texts writes the batches' counts, summed before the shuffle; a second one drops the lines.
     """
     spark = docs.sparkSession
-    text = F.col(text_col)
-    digest = [F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_d")]
-    long_enough = F.col("key") != "" if min_chars <= 1 else F.char_length("key") >= min_chars
-
-    keyed = docs.select(*digest, F.explode(keys_once(F.coalesce(text, F.lit("")))).alias("key")).where(long_enough)
+    # the digest is taken before the lines are laid out, once a document
+    each = docs.select(*digest(id_col, text_col), F.array_distinct(keys_of(F.coalesce(F.col(text_col), F.lit("")))).alias("_keys"))
+    keyed = each.select("_id", "_d", F.explode("_keys").alias("key")).where(long_enough(min_chars))
     batch = F.pmod(F.xxhash64("_id", "_d"), F.lit(batches)).cast("int").alias("batch")
     counted = keyed.select(batch, *hashes(F.col("key"))).groupBy("batch", *HASH).agg(F.count("*").alias("docs"))
     path = new_table(spark, "line-batches")
@@ -115,16 +150,28 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
     for k in range(batches):
         runs.add(all_batches.where(F.col("batch") == k).select(*HASH, "docs"))
     common = runs.common()
+    runs.drop()
     drop_table(path, spark)
+    return drop_lines(docs, common, min_chars, id_col, text_col)
+
 
-    mark = lambda key: F.concat_ws(":", *hashes(key))
-    hits = keyed.select("_id", "_d", *hashes(F.col("key")), mark(F.col("key")).alias("_mark")).join(common, HASH, "left_semi")
-    hits = hits.groupBy("_id", "_d").agg(F.collect_set("_mark").alias("_hits"))
-    at = docs.withColumns({"_id": F.col(id_col), "_d": digest[1]})
+def drop_lines(docs: DataFrame, common: DataFrame, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the lines whose keys are in ``common`` (h1, h2), with ``n_lines`` and ``n_dropped``.
+
+    Only the places of a document's common lines are shuffled, and go back to it joined by its id and digest.  The kept
+    lines are the stretches between them: the work on a document grows with its lines, not with lines times hits.
+    """
+    text = F.col(text_col)
+    each = docs.select(*digest(id_col, text_col), keys_of(F.coalesce(text, F.lit(""))).alias("_keys"))
+    keyed = each.select("_id", "_d", F.posexplode("_keys").alias("at", "key")).where(long_enough(min_chars))
+    hits = keyed.select("_id", "_d", "at", *hashes(F.col("key"))).join(common, HASH, "left_semi")
+    hits = hits.groupBy("_id", "_d").agg(F.sort_array(F.collect_set("at")).alias("_hits"))
+    at = docs.withColumns({"_id": F.col(id_col), "_d": digest(id_col, text_col)[1]})
     found = at.join(hits, at["_id"].eqNullSafe(hits["_id"]) & (at["_d"] == hits["_d"]), "left").drop(hits["_id"]).drop(hits["_d"])
     lines = lines_of(text)
-    kept = F.filter(lines, lambda x: ~F.array_contains("_hits", mark(line_key(x))))
-    found = found.withColumn("_kept", F.when(F.col("_hits").isNull(), lines).otherwise(kept))
-    found = found.withColumn("n_lines", F.size(lines).cast("long"))
+    between = F.zip_with(F.concat(F.array(F.lit(-1)), F.col("_hits")), F.concat(F.col("_hits"), F.array(F.size("_lines"))), lambda a, z: F.slice("_lines", a + 2, z - a - 1))
+    found = found.withColumn("_lines", lines)
+    found = found.withColumn("_kept", F.when(F.col("_hits").isNull(), F.col("_lines")).otherwise(F.flatten(between)))
+    found = found.withColumn("n_lines", F.size("_lines").cast("long"))
     found = found.withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-    return found.withColumn(text_col, F.array_join("_kept", "\n")).drop("_id", "_d", "_hits", "_kept")
+    return found.withColumn(text_col, F.array_join("_kept", "\n")).drop("_id", "_d", "_hits", "_kept", "_lines")
