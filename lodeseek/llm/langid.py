@@ -1,8 +1,10 @@
 """Language ID of code-switched text by a linear-chain conditional random field over words.
 
-A word's scores are sums of learned weights of its features: itself (the lexicon), its affixes and the n-grams within
-it, all hashed; learned transitions join the words.  Forward-backward gives each word's distribution over languages,
-and a document's language is the one with the largest expected number of words.
+A word is a run of letters; a run of more than WIDTH letters (scripts without blanks, compounds) counts as overlapping
+words of WIDTH letters, so that all of it is read.  A word's scores are sums of learned weights of its features: itself
+(the lexicon), its affixes and the n-grams within it, all hashed; learned transitions join the words.  Forward-backward
+gives each word's distribution over languages, and a document's language is the one with the largest expected number
+of words.
 
 Word scores depend on the word alone, so a worker computes them for new words only; forward-backward runs over many
 texts at once.  Emissions are learned on bounded excerpts of labelled rows, strung together at random so that
@@ -16,25 +18,31 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .pieces import BLANK, NARROW, blocks, gathered, pieces
 
 WORD = regex.compile(r"\p{L}+")
-WIDTH = 20  # characters of a word that features look at: its first 10 and last 10
+WIDTH, STEP = 20, 16  # letters of a word, and from one word of a longer run to the next
 BITS = 16
 
 
+def words_of(text: str) -> list[str]:
+    words = WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= WIDTH:
+        return words
+    return [w[i : i + WIDTH] for w in words for i in range(0, max(1, len(w) - (WIDTH - STEP)), STEP)]
+
+
 def word_features(words: list[str]) -> np.ndarray:
     """Hashed features of each word, shape (words, features): word, affixes of 1 to 4, 2- and 3-grams; -1 for none."""
-    short = [w if len(w) <= WIDTH else w[: WIDTH // 2] + w[-WIDTH // 2 :] for w in words]
-    code = np.array(short, f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH).astype(np.uint64)
+    code = np.array(words, f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH).astype(np.uint64)
     n = (code > 0).sum(1)
     code = np.concatenate([np.where(code > 0, code, 0), np.zeros((len(words), 4), np.uint64)], 1)
     mix = lambda h: ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)
@@ -109,44 +117,75 @@ class LanguageModel:
     weights: np.ndarray  # (2 ** BITS + 1, languages); the last row is 0, for no feature
     transition: np.ndarray
     start: np.ndarray
-    limit: int = 300_000
-    known: dict = field(default_factory=dict, repr=False)
+    limit: int = 400_000
+    known: pa.Array = field(default_factory=lambda: pa.array([], pa.large_string()), repr=False)  # pieces of texts
+    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64), repr=False)  # the places of their words
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64), repr=False)
+    place: dict = field(default_factory=dict, repr=False)
     table: np.ndarray | None = field(default=None, repr=False)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.languages)))
+        out = np.zeros((len(words), len(self.languages)), np.float32)
         for at in range(0, len(words), 20_000):
             features = word_features(words[at : at + 20_000])
             for column in features.T:
                 out[at : at + 20_000] += self.weights[column]
         return out
 
-    def emissions(self, texts: list[str]) -> list[np.ndarray]:
-        words = [WORD.findall(t.lower()) for t in texts]
-        flat = [w for ws in words for w in ws]
+    def _block(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scores of all words of a block in a row, and where each text's words end, led by 0."""
         if self.table is None:
             self.table = np.zeros((0, len(self.languages)), np.float32)
-        at = np.fromiter((self.known.get(w, -1) for w in flat), np.int64, len(flat))
-        table, missing = self.table, np.flatnonzero(at < 0)
+        separator = NARROW[data]
+        upto, code, distinct = pieces(np.where(separator, np.uint8(BLANK), data), ends, separator, np.zeros(len(ends) - 1, bool))
+        at = pc.index_in(distinct, self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, starts, table = self.flat, self.starts, self.table
+        missing = np.flatnonzero(at < 0)
         if len(missing):
-            fresh = list({flat[i] for i in missing})
-            place = dict(zip(fresh, range(len(table), len(table) + len(fresh)), strict=True))
-            table = np.concatenate([table, self.word_scores(fresh).astype(np.float32)])
-            at[missing] = [place[flat[i]] for i in missing]
+            fresh = distinct.take(pa.array(missing))
+            words = [words_of(p) for p in fresh.to_pylist()]
+            length = np.fromiter(map(len, words), np.int64, len(words))
+            row = [w for ws in words for w in ws]
+            found = np.fromiter((self.place.get(w, -1) for w in row), np.int64, len(row))
+            new = list({row[i] for i in np.flatnonzero(found < 0)})
+            places = dict(zip(new, range(len(table), len(table) + len(new)), strict=True))
+            found[found < 0] = [places[row[i]] for i in np.flatnonzero(found < 0)]
+            table = np.concatenate([table, self.word_scores(new)])
+            at[missing] = len(starts) - 1 + np.arange(len(missing))
+            flat, starts = np.concatenate([flat, found]), np.concatenate([starts, starts[-1] + np.cumsum(length)])
             if len(self.known) < self.limit:
-                self.known.update(place)
+                short = pc.less_equal(pc.binary_length(fresh), 48).to_numpy(zero_copy_only=False)
+                self.known = pa.concat_arrays([self.known, fresh.filter(pa.array(short))])
+                self.flat = np.concatenate([self.flat, found[np.repeat(short, length)]])
+                self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(length[short])])
+                self.place.update(places)
                 self.table = table
-        return np.split(table[at].astype(np.float64), np.cumsum([len(ws) for ws in words])[:-1]) if texts else []
+        begin, length = starts[at], starts[at + 1] - starts[at]
+        row, word_ends = gathered(flat, begin[code], length[code])
+        return table[row].astype(np.float64), np.concatenate([[0], word_ends])[upto]
+
+    def emissions(self, texts: list[str]) -> list[np.ndarray]:
+        return [e for _, data, ends in blocks(pa.array(texts, pa.large_string())) for e in self._split(*self._block(data, ends))]
+
+    @staticmethod
+    def _split(scores: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        return np.split(scores, ends[1:-1])
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        marginals, _ = forward_backward(self.emissions([t or "" for t in texts]), self.transition, self.start)
-        mass = np.array([m.sum(0) for m in marginals]).reshape(len(texts), len(self.languages))
-        total = mass.sum(1)
-        best = mass.argmax(1)
-        score = np.where(total > 0, mass[np.arange(len(texts)), best] / np.maximum(total, 1e-12), 0.0)
-        return [self.languages[b] if n > 0 else "und" for b, n in zip(best, total, strict=True)], np.clip(score, 0, 1)
+    def predict(self, texts) -> tuple[list[str], np.ndarray]:
+        """The language and the expected share of words in it, of each text of a list or an Arrow array."""
+        names, scores = [], []
+        for _, data, ends in blocks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())):
+            if not self.languages:
+                names += ["und"] * (len(ends) - 1)
+                scores.append(np.zeros(len(ends) - 1))
+                continue
+            marginals, _ = forward_backward(self._split(*self._block(data, ends)), self.transition, self.start)
+            mass = np.array([m.sum(0) for m in marginals]).reshape(len(ends) - 1, len(self.languages))
+            total, best = mass.sum(1), mass.argmax(1)
+            share = np.where(total > 0, mass[np.arange(len(best)), best] / np.maximum(total, 1e-12), 0.0)
+            names += [self.languages[b] if n > 0 else "und" for b, n in zip(best, total, strict=True)]
+            scores.append(np.clip(share, 0, 1))
+        return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
 def train(sample: list[tuple[str, str]], words_each: int = 60, rounds: int = 40, rate: float = 0.5, ridge: float = 1e-5) -> LanguageModel:
@@ -154,11 +193,11 @@ def train(sample: list[tuple[str, str]], words_each: int = 60, rounds: int = 40,
     languages = sorted({lang for _, lang in sample})
     k, rng = len(languages), np.random.default_rng(0)
     if not k:
-        return LanguageModel([], np.zeros((1, 0)), np.zeros((0, 0)), np.zeros(0))
+        return LanguageModel([], np.zeros((1, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
     spans = []
     for text, lang in sample:
-        words = WORD.findall(text.lower())
-        spans += [(words[i : i + words_each], languages.index(lang)) for i in range(0, min(len(words), 4 * words_each), words_each)]
+        words = words_of(text)
+        spans += [(words[i : i + words_each], languages.index(lang)) for i in range(0, len(words), words_each)]
     rng.shuffle(spans)
     sequences, at = [], 0
     while at < len(spans):
@@ -168,10 +207,10 @@ def train(sample: list[tuple[str, str]], words_each: int = 60, rounds: int = 40,
     vocabulary: dict[str, int] = {}
     ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for ws, _ in s for w in ws], np.int64) for s in sequences]
     gold = [np.concatenate([np.full(len(ws), y) for ws, y in s]) if s else np.zeros(0, np.int64) for s in sequences]
-    model = LanguageModel(languages, np.zeros((2**BITS + 1, k)), np.zeros((k, k)), np.zeros(k))
+    model = LanguageModel(languages, np.zeros((2**BITS + 1, k), np.float32), np.zeros((k, k)), np.zeros(k))
     if not vocabulary:
         return model
-    features = word_features(list(vocabulary))
+    by_word, by_feature = Sums.of(word_features(list(vocabulary)))
     flat_ids, flat_gold = np.concatenate(ids), np.concatenate(gold)
     truth = np.zeros((len(vocabulary), k))
     np.add.at(truth, (flat_ids, flat_gold), 1)
@@ -180,38 +219,60 @@ def train(sample: list[tuple[str, str]], words_each: int = 60, rounds: int = 40,
         if len(g):
             np.add.at(true_pairs, (g[:-1], g[1:]), 1)
             true_start[g[0]] += 1
-    sums = [np.full_like(x, 1e-6) for x in (model.weights, model.transition, model.start)]
+    weights = np.zeros((len(by_feature.names), k))  # of the features that occur
+    sums = [np.full_like(x, 1e-6) for x in (weights, model.transition, model.start)]
     n = len(flat_ids)
     for _ in range(rounds):
-        scores = sum(model.weights[c] for c in features.T)
+        scores = by_word.of_rows(weights)
         marginals, pairs = forward_backward([scores[i] for i in ids], model.transition, model.start)
-        seen = np.zeros_like(truth)
-        np.add.at(seen, flat_ids, np.concatenate(marginals))
-        slope, grad = truth - seen, np.zeros_like(model.weights)
-        for c in features.T:
-            for j in range(k):
-                grad[:, j] += np.bincount(np.where(c < 0, 2**BITS, c), slope[:, j], 2**BITS + 1)
-        grad[-1] = 0
+        expected = np.concatenate(marginals)
+        seen = np.stack([np.bincount(flat_ids, expected[:, j], len(vocabulary)) for j in range(k)], 1)
+        grad = by_feature.of_rows(truth - seen)
         begun = sum(m[0] for m in marginals if len(m))
-        for x, g, s in ((model.weights, grad / n - ridge * model.weights, sums[0]), (model.transition, (true_pairs - pairs) / n - ridge * model.transition, sums[1]), (model.start, (true_start - begun) / n - ridge * model.start, sums[2])):
+        for x, g, s in ((weights, grad / n - ridge * weights, sums[0]), (model.transition, (true_pairs - pairs) / n - ridge * model.transition, sums[1]), (model.start, (true_start - begun) / n - ridge * model.start, sums[2])):
             s += g * g
             x += rate * g / np.sqrt(s)
+    model.weights[by_feature.names] = weights
     return model
 
 
-def fit(docs: DataFrame, fit_rows: int = 600, excerpt: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fits on at most ``fit_rows`` rows of each language (of the 64 most frequent ones), chosen by a hash of their
-    ids, and at most ``excerpt`` characters of each; the caller leaves held-out rows out of ``docs``."""
-    rows = docs.where(F.col(lang_col).isNotNull()).select(lang_col, id_col, text_col)
-    counts = rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(64).collect()
+@dataclass
+class Sums:
+    """A sparse matrix of ones, by rows: a product with it sums some rows of another matrix."""
+
+    names: np.ndarray
+    columns: np.ndarray  # all rows' columns in a row
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, features: np.ndarray) -> tuple[Sums, Sums]:
+        """(words by features, features by words) from the features of each word, -1 for none."""
+        word, at = np.nonzero(features >= 0)
+        names, feature = np.unique(features[word, at], return_inverse=True)
+        order = np.argsort(feature, kind="stable")
+        return cls(np.arange(len(features)), feature, np.searchsorted(word, np.arange(len(features)))), cls(names, word[order], np.searchsorted(feature[order], np.arange(len(names))))
+
+    def of_rows(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[self.columns], self.starts, axis=0)  # each row has a column at least
+
+
+def fit(docs: DataFrame, fit_rows: int = 600, excerpt: int = 2000, most_rows: int = 60_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Fits on at most ``fit_rows`` rows of each language, and about ``most_rows`` of all, chosen by a hash of their
+    ids, and on an excerpt of at most ``excerpt`` characters of each; every language is learned.  The caller leaves
+    held-out rows out of ``docs``.  The counts that pass the driver are one a language."""
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias(lang_col), id_col, text_col)
+    counts = rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).collect()
+    fit_rows = max(1, min(fit_rows, most_rows // max(1, len(counts))))
     text = F.coalesce(F.col(text_col), F.lit(""))
     at = F.pmod(F.xxhash64(F.col(id_col)), F.greatest(F.lit(1), F.length(text) - excerpt + 1)) + 1
     if not counts:
         return train([])
     # about twice fit_rows rows of each language by a cut of the hash, then the first fit_rows of them, in one pass
     part = F.pmod(F.xxhash64(id_col), F.lit(1_000_003))
-    drawn = reduce(lambda x, y: x | y, [(F.col(lang_col) == r[0]) & (part <= F.lit(int(2 * fit_rows * 1_000_003 / r["n"]))) for r in counts])
-    some = rows.where(drawn).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), text.substr(at.cast("int"), F.lit(excerpt)).alias("text"))
+    spark = docs.sparkSession
+    cuts = spark.createDataFrame([(r[0], int(2 * fit_rows * 1_000_003 / r["n"])) for r in counts], "_lang string, _cut long")  # one row a language
+    drawn = rows.join(F.broadcast(cuts), rows[lang_col] == F.col("_lang")).where(part <= F.col("_cut"))
+    some = drawn.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), text.substr(at.cast("int"), F.lit(excerpt)).alias("text"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     first = some.withColumn("nth", order).where(F.col("nth") <= fit_rows).collect()
     place = {r[0]: i for i, r in enumerate(counts)}
@@ -223,15 +284,11 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     """docs with ``lang_pred`` and ``score``, the expected share of words in that language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2 ** BITS weights a language
 
-    @F.pandas_udf("lang_pred string, score double")
-    def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def labelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            names, scores = [], []
-            for _, some in chunks([t or "" for t in texts]):
-                a, b = shared.value.predict(some)
-                names += a
-                scores += list(b)
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            names, scores = shared.value.predict(texts)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     found = docs.withColumn("_found", labelled(F.col(text_col)))
     return found.withColumn("lang_pred", F.col("_found.lang_pred")).withColumn("score", F.col("_found.score")).drop("_found")
