@@ -1,14 +1,13 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad labelled text.
 
-A text is first written as its outline: runs of lower-case letters, capitals and digits become one letter each, a word
-said again and again becomes a count mark, spaces go.  The outline keeps what tells a table, shouting, symbol noise or
-stuttering from prose in any language.  Chunks of the outline are compressed with either dictionary, and the difference
-of the sizes summed over the whole text, divided by their sum, is the raw score; a logistic curve fitted on other
-labelled rows turns it into the probability of label 1.
-
-Defined cases: a null text counts as empty; an empty text, or one with an empty outline, has raw score 0; without
-labelled rows of both kinds every score is the share of label 1 (0.5 without labels); rows may repeat; other columns
-pass through, except that columns named like the results are replaced.
+Two zstandard dictionaries are trained, one on good texts and one on bad ones.  Chunks of a text are compressed with
+either, and the difference of the sizes summed over the whole text, divided by their sum, is the raw score; a logistic
+curve fitted on other labelled rows turns it into the probability of label 1.  Chunks are short, so that it is the
+dictionary that helps and not what the text said before.
+
+Defined cases: a null text counts as empty; an empty text has raw score 0; where a label has too few texts to train a
+dictionary on, the texts themselves are it; without labelled rows of both kinds every score is the share of label 1 (0.5
+without labels); rows may repeat; other columns pass through, except that columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -17,20 +16,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-LOWER, UPPER, DIGITS = regex.compile(r"\p{Ll}+"), regex.compile(r"\p{Lu}+"), regex.compile(r"\d+")
-AGAIN = regex.compile(r"(?<!\S)(\S+)(?: \1(?!\S))++")
-
-
-def outline(text: str) -> str:
-    text = AGAIN.sub(r"\1=+0", text)
-    text = UPPER.sub("A", LOWER.sub("a", text))
-    return DIGITS.sub("0", text).replace(" ", "")
+from .pieces import blocks
 
 
 @dataclass
@@ -40,14 +30,14 @@ class QualityModel:
     slope: float
     level: float
     chunk: int = 200
-    effort: int = 9
+    effort: int = 1
 
     def compressors(self):
         import zstandard
 
         out = []
         for raw in (self.good, self.bad):
-            words = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words = zstandard.ZstdCompressionDict(raw)
             words.precompute_compress(level=self.effort)
             out.append(zstandard.ZstdCompressor(level=self.effort, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False))
         return out
@@ -55,31 +45,32 @@ class QualityModel:
     def raw(self, texts, compressors=None) -> np.ndarray:
         """The normalised difference of the compressed sizes; over 0: the good dictionary helps more."""
         good, bad = compressors or self.compressors()
-        out = np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            data = outline(text or "").encode("utf-8", "surrogatepass")
-            a = b = 0
-            for at in range(0, len(data), self.chunk):
-                part = data[at : at + self.chunk]
-                a += len(good.compress(part))
-                b += len(bad.compress(part))
-            out[i] = (b - a) / (a + b) if a + b else 0.0
-        return out
+        out = []
+        for _, data, ends in blocks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())):
+            held = memoryview(np.ascontiguousarray(data))
+            for at, end in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+                a = b = 0
+                for i in range(at, end, self.chunk):
+                    part = held[i : min(i + self.chunk, end)]
+                    a += len(good.compress(part))
+                    b += len(bad.compress(part))
+                out.append((b - a) / (a + b) if a + b else 0.0)
+        return np.array(out, float)
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.level, -30, 30)))
 
 
-def dictionary(texts: list[str], size: int, piece: int = 400) -> bytes:
-    """Pieces of the outlines, dealt in turn over all texts, up to ``size`` bytes."""
-    rng, out, total = np.random.default_rng(0), [], 0
-    outlines = [o for o in (outline(t).encode("utf-8", "surrogatepass") for t in texts) if o]
-    while outlines and total < size:
-        data = outlines[rng.integers(len(outlines))]
-        at = rng.integers(max(1, len(data) - piece))
-        out.append(data[at : at + piece])
-        total += len(out[-1]) + 1
-    return b"\n".join(out)[:size]
+def dictionary(texts: list[str], size: int, piece: int = 2000) -> bytes:
+    """A dictionary of at most ``size`` bytes trained on pieces of the texts; the texts themselves, if they are too few."""
+    import zstandard
+
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    samples = [r[i : i + piece] for r in raw for i in range(0, len(r), piece)]
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(samples)[:size]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -127,11 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, excerpt: int =
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """docs with ``score`` (0 to 1) and ``predicted`` (1 where the score is at least ``threshold``)."""
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compressors = model.compressors()
         for texts in batches:
-            yield pd.Series(model.probability(model.raw(list(texts), compressors)))
+            yield pa.array(model.probability(model.raw(texts, compressors)))
 
     out = docs.withColumn("score", scored(F.col(text_col)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
