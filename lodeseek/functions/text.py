@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stemming import stem
+
 #: English stop words of the BM25 tokeniser.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 #: Patterns of contents lines, page footers and rule headings.
@@ -96,34 +98,6 @@ def round6(c: Column) -> Column:
     return F.floor(c * 1e6 + 0.5) / 1e6
 
 
-_VOWELS = set("aeiouy")
-
-
-def stem(word: str) -> str:
-    """A light English stemmer: plurals, -ed and -ing, -ly, and the commonest derivations."""
-    has_vowel = lambda s: any(ch in _VOWELS for ch in s)
-    if len(word) <= 3:
-        return word
-    for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("us", "us"), ("s", "")):
-        if word.endswith(end):
-            word = word[: len(word) - len(end)] + new
-            break
-    for end in ("ingly", "edly", "ing", "ed"):
-        if word.endswith(end) and has_vowel(word[: -len(end)]) and len(word) - len(end) > 1:
-            word = word[: -len(end)]
-            if word.endswith(("at", "bl", "iz")):
-                word += "e"
-            elif word[-1] == word[-2] and word[-1] not in "lsz":
-                word = word[:-1]
-            break
-    if word.endswith("y") and len(word) > 2 and word[-2] not in _VOWELS:
-        word = word[:-1] + "i"
-    for end, new in (("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("li", "")):
-        if word.endswith(end) and len(word) - len(end) > 2:
-            return word[: -len(end)] + new
-    return word
-
-
 def stemmed(c: Column) -> Column:
     @F.pandas_udf("array<string>")
     def stems(lists: pd.Series) -> pd.Series:

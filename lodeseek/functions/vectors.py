@@ -22,3 +22,8 @@ def l2_normalise(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
+
+
+def similarity(distance: Column) -> Column:
+    """Of a cosine distance, as distance-based stores return it."""
+    return 1 - distance

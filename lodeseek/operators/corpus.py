@@ -27,8 +27,25 @@ def running_lines(pages: DataFrame, group: str, threshold: float = 0.4, n: int =
     return counted.join(cutoff, group).where(F.col("n") >= F.col("cutoff")).select(group, "line", "n")
 
 
+#: Running lines that are sent to every task; more of them are joined by shuffle.
+MOST_SENT = 2000
+
+
 def strip_running(pages: DataFrame, running: DataFrame, group: str, page_key: str) -> DataFrame:
-    """Pages (page_key, group, text) without running lines and page footers: (page_key, text)."""
+    """Pages (page_key, group, text) without running lines and page footers: (page_key, text).
+
+    Where all groups together have at most MOST_SENT running lines, each page filters its own lines and no text moves."""
+    spark = pages.sparkSession
+    few = running.select(group, "line").limit(MOST_SENT + 1).collect()
+    if len(few) <= MOST_SENT:
+        by_group: dict = {}
+        for g, line in few:
+            by_group.setdefault(g, []).append(line)
+        kind = running.schema[group].dataType.simpleString()
+        sent = F.broadcast(spark.createDataFrame(list(by_group.items()), f"`{group}` {kind}, _lines array<string>"))  # at most MOST_SENT lines
+        joined = pages.select(page_key, group, "text").join(sent, group, "left").withColumn("_lines", F.coalesce("_lines", F.array().cast("array<string>")))
+        kept = F.filter(lines(F.coalesce("text", F.lit(""))), lambda x: ~F.regexp_like(x, F.lit(PAGE_FOOTER)) & ~F.array_contains("_lines", mask_digits(strip(x))))
+        return joined.select(page_key, strip(F.array_join(kept, "\n")).alias("text"))
     rows = pages.select(page_key, group, F.posexplode(lines(F.col("text"))).alias("pos", "raw"))
     rows = rows.withColumn("line", mask_digits(strip(F.col("raw")))).where(~F.regexp_like("raw", F.lit(PAGE_FOOTER)))
     kept = rows.join(running.select(group, "line"), [group, "line"], "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formats import member_label, period_label, value_format
 
-#: Names of prose elements, concepts of general interest, other names of statement lines.
+#: Names of prose elements, other names of statement lines, concepts of general interest.
 NOT_FACTS = "TextBlock|PolicyText|Axis|Domain"
 ALIASES = {
     "RevenueFromContractWithCustomerExcludingAssessedTax": "total revenue, total operating revenue, operating revenue, revenues, sales, top line",
@@ -23,7 +23,18 @@ ALIASES = {
     "LongTermDebtNoncurrent": "long term debt, non-current debt",
     "OperatingLeaseLiabilityNoncurrent": "operating lease liabilities",
 }
-HEADLINES = list(ALIASES)[:10]
+HEADLINES = [
+    "RevenueFromContractWithCustomerExcludingAssessedTax",
+    "CostsAndExpenses",
+    "OperatingIncomeLoss",
+    "NetIncomeLoss",
+    "EarningsPerShareDiluted",
+    "EarningsPerShareBasic",
+    "Assets",
+    "Liabilities",
+    "StockholdersEquity",
+    "CashAndCashEquivalentsAtCarryingValue",
+]
 
 
 def namespace_prefix(ns: Column, own: dict[str, str] | None = None) -> Column:
@@ -58,21 +69,28 @@ def fact_lines(facts: DataFrame, contexts: DataFrame, units: DataFrame, labels:
     return joined.where((value != "") & (F.length(value) <= 400)).select("prefix", "concept", "pos", line.alias("line"))
 
 
-def fact_records(lines: DataFrame, labels: DataFrame, entity: str, year: str, aliases: bool = True, verbose: bool = False) -> DataFrame:
-    """(locator, label, text, fact_count, headline): equal lines once, in the order of their first place."""
+def fact_records(lines: DataFrame, labels: DataFrame, entity: str, year: str, aliases: bool = True, verbose: bool = False, page: int | None = None) -> DataFrame:
+    """(locator, label, text, fact_count, headline): equal lines once, in the order of their first place.
+
+    A concept's lines are one record; with ``page``, records of at most so many lines, the second and later ones with
+    ``#2`` and so on after the locator.  Their places come from a sorted window, and no row holds more than a page."""
     once = lines.groupBy("prefix", "concept", "line").agg(F.min("pos").alias("pos"))
-    grouped = once.groupBy("prefix", "concept").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    at = F.row_number().over(Window.partitionBy("prefix", "concept").orderBy("pos", "line")) - 1
+    once = once.withColumn("page", F.floor(at / page).cast("int") if page else F.lit(0))
+    grouped = once.groupBy("prefix", "concept", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
     grouped = grouped.withColumn("key", F.concat_ws("_", "prefix", "concept")).join(labels.select("key", "label"), "key", "left")
     label = F.coalesce("label", F.col("concept"))
     locator = F.concat_ws(":", "prefix", "concept")
     names = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
     also = F.when(F.lit(aliases), F.concat(F.lit("Also known as: "), F.try_element_at(names, F.col("concept")), F.lit(".")))
+    # fixed values: the wording of a record's head
     if verbose:
         head = [F.lit(f"{entity} — {year} Form 10-K financial data (SEC XBRL)."), F.concat(F.lit("Financial concept: "), label, F.lit(" ("), locator, F.lit(").")), F.lit("Reported values:")]
     else:
         head = [F.concat(label, F.lit(f" — {entity} {year} Form 10-K.")), also, F.concat(F.lit("XBRL concept "), locator, F.lit("."))]
     text = F.concat_ws("\n", *head, F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
-    return grouped.select(locator.alias("locator"), label.alias("label"), text.alias("text"), F.size("l").alias("fact_count"), F.col("concept").isin(HEADLINES).alias("headline"))
+    numbered = F.when(F.col("page") > 0, F.concat(locator, F.lit("#"), (F.col("page") + 1).cast("string"))).otherwise(locator)
+    return grouped.select(numbered.alias("locator"), label.alias("label"), text.alias("text"), F.size("l").alias("fact_count"), F.col("concept").isin(HEADLINES).alias("headline"))
 
 
 def record_stats(records: DataFrame, *by: str) -> DataFrame:

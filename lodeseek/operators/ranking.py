@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fold_for_match
+
 
 def top_k(hits: DataFrame, k: int, query: str = "query_id", item: str = "item_id", score: str = "score") -> DataFrame:
     """The best ``k`` of each query with their rank; Spark limits each group before and after the shuffle."""
@@ -56,6 +58,43 @@ def grade(same_doc: Column, span_inside: Column, locator_shared: Column) -> Colu
     return F.when(~same_doc, 0).when(span_inside, 3).when(locator_shared, 2).otherwise(1)
 
 
+def graded(hits: DataFrame, gold: DataFrame, fold=fold_for_match) -> DataFrame:
+    """(query_id, rank, grade) of hits (query_id, rank, doc_id, locators, text) by gold (query_id, gold_doc,
+    gold_locators, gold_span): the gold span inside 3, a shared locator 2, else the same document 1, another 0.
+
+    ``fold`` prepares texts and spans for comparison."""
+    full = hits.join(gold.select("query_id", "gold_doc", "gold_locators", "gold_span"), "query_id")
+    inside = F.contains(fold(F.coalesce("text", F.lit(""))), fold(F.coalesce("gold_span", F.lit(""))))
+    shared = F.coalesce(F.arrays_overlap("locators", "gold_locators"), F.lit(False))
+    return full.select("query_id", "rank", grade(F.coalesce(F.col("doc_id") == F.col("gold_doc"), F.lit(False)), inside, shared).alias("grade"))
+
+
+def run_metrics(grades: DataFrame, questions: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+    """One row: n, r_at_1, r_at_3, mrr_at_10, dcg_at_3, ndcg_at_3 and route_accuracy over all questions (query_id and,
+    for routes, business_line).
+
+    Questions without hits score 0; without questions all are 0.  ``routes`` (query_id, route) must name a route for
+    each question; without it the route accuracy is null."""
+    cells = questions.select("query_id").join(query_metrics(grades), "query_id", "left").na.fill(0.0)
+    means = mean_metrics(cells)
+    if routes is None:
+        return means.withColumn("route_accuracy", F.lit(None).cast("double"))
+    paired = questions.select("query_id", "business_line").join(routes.select("query_id", "route"), "query_id", "full_outer")
+    wrong = F.count_if(F.col("business_line").isNull() | F.col("route").isNull()) > 0
+    share = F.coalesce(F.avg((F.col("business_line") == F.col("route")).cast("double")), F.lit(0.0))
+    accuracy = paired.agg(F.when(wrong, F.raise_error(F.lit("routes and questions differ in length"))).otherwise(share).alias("route_accuracy"))
+    return means.crossJoin(F.broadcast(accuracy))  # one row each
+
+
+def question_details(questions: DataFrame, hits: DataFrame, grades: DataFrame) -> DataFrame:
+    """(query_id, question, route, query_type, grades, top_doc, top_locators) of every question: its grades in order of
+    rank, the document and locators of its first hit; no grades and no locators without hits."""
+    listed = grades.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "grade"))), lambda x: x["grade"]).alias("grades"))
+    top = hits.where(F.col("rank") == 1).select("query_id", F.col("doc_id").alias("top_doc"), F.col("locators").alias("top_locators"))
+    full = questions.select("query_id", "question", "route", "query_type").join(listed, "query_id", "left").join(top, "query_id", "left")
+    return full.withColumns({"grades": F.coalesce("grades", F.array().cast("array<int>")), "top_locators": F.coalesce("top_locators", F.array().cast("array<string>"))})
+
+
 def query_metrics(graded: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per query, from (query_id, rank, grade): hit rates at 1 and 3, reciprocal rank at 10, DCG and NDCG at 3.
 

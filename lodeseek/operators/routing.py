@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How documents introduce a term, and terms too general to route by.
+#: Fixed value: how documents introduce a term.
 DEFINITION = r"(?m)^([A-Z][A-Za-z][A-Za-z /'\-]{1,38}?)\s*(?:shall mean|means|shall be|[-–]\s)"
+#: Terms too general to route by; the caller adds what else all lines share, such as the publisher's name.
 GENERAL_TERMS = ["carrier", "days", "person", "property", "us", "u s", "united states of america", "currency", "numbers", "group"]
 
 
@@ -36,11 +37,11 @@ def decide(voted: DataFrame) -> DataFrame:
     return ranked.where("n = 1").select("query_id", F.col("business_line").alias("route"), "confidence")
 
 
-def defined_terms(units: DataFrame, skip: tuple[str, ...] = ("financial",), least: int = 4) -> DataFrame:
+def defined_terms(units: DataFrame, skip: tuple[str, ...] = ("financial",), least: int = 4, general: tuple[str, ...] = ()) -> DataFrame:
     """(term, business_line): terms that the documents of one line only define."""
     found = units.where(~F.col("business_line").isin(*skip)).select("business_line", F.explode(F.regexp_extract_all("text", F.lit(DEFINITION), F.lit(1))).alias("raw"))
     term = F.lower(F.regexp_replace(F.regexp_replace("raw", r"^\s+|\s+$", ""), r"\s+", " "))
-    lines = found.select("business_line", term.alias("term")).where((F.length("term") >= least) & ~F.col("term").isin(GENERAL_TERMS)).distinct()
+    lines = found.select("business_line", term.alias("term")).where((F.length("term") >= least) & ~F.col("term").isin([*GENERAL_TERMS, *general])).distinct()
     return lines.groupBy("term").agg(F.count("*").alias("n"), F.min("business_line").alias("business_line")).where("n = 1").select("term", "business_line")
 
 

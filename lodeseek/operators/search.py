@@ -1,4 +1,4 @@
-"""Sparse (BM25) and dense (exact inner product) search, reranking.
+"""Sparse search (BM25), filters after ranking, reranking.
 
 Scores are rounded at six places, so that equal items tie whatever the order of summation.
 """
@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import round6, tokens
-from ..functions.vectors import dot
 from .ranking import top_k
 
 
@@ -20,6 +19,18 @@ class Bm25Index:
         self.k1, self.b, self.analyse = k1, b, analyse
         self.items = corpus.withColumn("terms", analyse(F.col("text"))).withColumn("dl", F.size("terms"))
 
+    def write(self, path: str) -> Bm25Index:
+        """Writes the terms of all items, so that they are cut once whatever is searched, and reads from there on."""
+        self.items.drop("text").write.mode("overwrite").parquet(path)
+        self.items = self.items.sparkSession.read.parquet(path)
+        return self
+
+    @classmethod
+    def open(cls, spark, path: str, **options) -> Bm25Index:
+        out = cls(spark.createDataFrame([], "item_id long, text string"), **options)
+        out.items = spark.read.parquet(path)
+        return out
+
     def stats(self) -> DataFrame:
         """One row: number of items and mean length."""
         return self.items.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
@@ -45,14 +56,6 @@ class Bm25Index:
         return top_k(hits, k)
 
 
-def dense_hits(queries: DataFrame, items: DataFrame, same: list[str] | None = None) -> DataFrame:
-    """(query_id, item_id, score) of all items for a stated set of queries (query_id, qv): exact, as a flat index is.
-
-    ``same`` names columns on which query and item must agree; they become the join's key."""
-    joined = items.join(queries, same) if same else items.join(queries)
-    return joined.select("query_id", "item_id", round6(dot(F.col("qv"), F.col("v"))).alias("score"))
-
-
 def over_fetch(hits: DataFrame, wanted: Column, k: int, factor: int = 12) -> DataFrame:
     """Filter after ranking: the best factor x k, then those wanted, then ``k``; may return fewer than ``k``."""
     some = top_k(hits, factor * k).drop("rank").where(wanted)

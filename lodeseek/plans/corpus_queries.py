@@ -208,8 +208,8 @@ SQL_RULES = """ruled AS (SELECT doc_id, string_agg(CASE WHEN pos % 4 = 0 THEN 'R
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^(RULE\s+\d+[:.]?|G\d{{1,3}}\b)', chr(1) || '\1', 'g'), chr(1)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS p FROM ruled)
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS chunk_no, p[i] AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM cut)""")
 def chunk_section_aware(spark, d):
-    head = F.when(F.col("pos") % 4 == 0, F.concat(F.lit("RULE "), F.col("pos").cast("string"), F.lit(": "))).otherwise(F.lit(""))
-    ruled = _units(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat(head, "text").alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    marked = F.transform(T.lines(F.col("text")), lambda x, i: F.when((i + 1) % 4 == 0, F.concat(F.lit("RULE "), (i + 1).cast("string"), F.lit(": "), x)).otherwise(x))
+    ruled = table(spark, d, "documents").select("doc_id", F.array_join(marked, "\n").alias("text"))
     return _longs(chunking.chunk_sections(ruled), "chunk_no")
 
 
@@ -239,3 +239,20 @@ def chunk_locators_range_join(spark, d):
 @query()
 def chunk_recursive(spark, d):
     return chunking.chunk(table(spark, d, "documents"), "recursive", 100, 20)
+
+
+@query()
+def chunk_rule_aware(spark, d):
+    """Sections by rule headings, none over 60 words: long ones and texts without headings are split further."""
+    marked = F.transform(T.lines(F.col("text")), lambda x, i: F.when((i + 1) % 4 == 0, F.concat(F.lit("RULE "), (i + 1).cast("string"), F.lit(": "), x)).otherwise(x))
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.array_join(marked, "\n")).otherwise(F.col("text")).alias("text"))
+    return chunking.chunk(docs, "rule_aware", 60, 10)
+
+
+@query()
+def chunk_corpus(spark, d):
+    """Chunks of all units with their locators, line, title and meta; parts pass as they are."""
+    paged = _units(spark, d).withColumns({"kind": F.lit("pdf"), "title": F.concat(F.lit("doc "), F.col("doc_id").cast("string"))})
+    part = table(spark, d, "part").select((-F.col("p_partkey")).alias("doc_id"), F.lit("financial").alias("business_line"), F.lit(1).cast("long").alias("pos"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("locator"), F.col("p_name").alias("text"), F.lit("xbrl").alias("kind"), F.lit("parts").alias("title"))
+    out = chunking.chunk_units(paged.unionByName(part), "fixed_ov", 80, 10)
+    return out.withColumn("meta", F.array_join(F.array_sort(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ","))

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formats
 from ..functions.text import round6
 from ..operators import evaluation, facts, guards
+from ..operators import ranking
 from ..sources import sets, xbrl
+from ..sources.scratch import scratch
 from .corpus_queries import SQL_UNITS, _units
 from .registry import query, table
 from .search_queries import r6
@@ -55,12 +55,12 @@ def eval_summary_grouping_sets(spark, d):
       FROM lodeseek_summary GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())""")
 
 
-@query("""WITH b AS (SELECT doc_id, lang, n_chars, quality FROM documents JOIN labels USING (doc_id))
-SELECT doc_id % 2 AS fold, lang, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids, floor(avg(n_chars) * 1e6 + 0.5) / 1e6 AS mean_chars FROM b WHERE quality = 0 GROUP BY ALL""")
+@query("""SELECT doc_id % 2 AS fold, lang, quality, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id, floor(avg(n_chars) * 1e6 + 0.5) / 1e6 AS mean_chars
+FROM documents JOIN labels USING (doc_id) GROUP BY ALL""")
 def per_question_detail(spark, d):
-    b = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").where("quality = 0")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    return b.groupBy((F.col("doc_id") % 2).alias("fold"), "lang").agg(F.count("*").alias("n"), ids.alias("ids"), round6(F.avg("n_chars")).alias("mean_chars"))
+    b = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    by = [(F.col("doc_id") % 2).alias("fold"), "lang", "quality"]
+    return b.groupBy(*by).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), round6(F.avg("n_chars")).alias("mean_chars"))
 
 
 # --- facts: line items of orders as reported values of a brand ----------------------------------------------------
@@ -272,8 +272,7 @@ LINKBASE = """<?xml version="1.0"?>
 
 def _written(spark, name: str, text: str) -> str:
     """The literal file where Spark's readers find it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    path = f"{base}/lodeseek-fixtures/{name}-{hash(text) & 0xFFFFFF}"
+    path = scratch(spark, name)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
     return path
 
@@ -295,3 +294,123 @@ def xbrl_parse(spark, d):
     labels = _labels(spark)
     lines = facts.fact_lines(xbrl.facts(spark, path), xbrl.contexts(spark, path), xbrl.units(spark, path), labels)
     return facts.fact_records(lines, labels, "Example", "FY2025").withColumn("fact_count", F.col("fact_count").cast("long"))
+
+
+# --- facts and labels of a table, written as files and read again ---------------------------------------------------
+
+
+def _instance_of_parts(spark, d) -> str:
+    """An instance document with a context and a fact for each part, in four namespaces, one of them the filer's own."""
+    part = table(spark, d, "part").select("p_partkey", "p_size", F.col("p_retailprice").cast("decimal(18,2)").cast("string").alias("value"))
+    ns = F.element_at(F.array(*[F.lit(x) for x in ("us-gaap", "dei", "srt", "own")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    key = F.col("p_partkey").cast("string")
+    rows = part.select(F.col("p_partkey").alias("key"), F.concat(
+        F.lit("<context id=\"c"), key, F.lit("\"><period><instant>2025-06-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0"), F.lit("</instant></period></context>"),
+        F.lit("<"), ns, F.lit(":Concept"), (F.col("p_size")).cast("string"), F.lit(" unitRef=\"usd\" contextRef=\"c"), key, F.lit("\" decimals=\"2\">"), F.col("value"), F.lit("</"), ns, F.lit(":Concept"), F.col("p_size").cast("string"), F.lit(">"),
+    ).alias("value"))
+    names = 'xmlns:us-gaap="http://fasb.org/us-gaap/2025" xmlns:dei="http://xbrl.sec.gov/dei/2025" xmlns:srt="http://fasb.org/srt/2025" xmlns:own="http://www.example.com/filer/"'
+    return _files(spark, "instance", rows, f'<xbrl {names}>\n<unit id="usd"><measure>iso4217:USD</measure></unit>', "</xbrl>")
+
+
+def _files(spark, name: str, rows: DataFrame, head: str, tail: str, most: int = 1000) -> str:
+    """Rows (key, value) as files of up to ``most`` lines between a head and a tail."""
+    path = scratch(spark, name)
+    whole = rows.groupBy(F.floor(F.col("key") / most)).agg(F.array_join(F.collect_list("value"), "\n").alias("body"))  # at most ``most`` lines
+    whole.select(F.concat(F.lit(head + "\n"), "body", F.lit("\n" + tail)).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("""SELECT CASE p_partkey % 4 WHEN 0 THEN 'us-gaap' WHEN 1 THEN 'dei' WHEN 2 THEN 'srt' ELSE 'filer' END AS prefix, 'Concept' || p_size AS concept, 'c' || p_partkey AS context_id, 'USD' AS measure,
+CAST(CAST(p_retailprice AS DECIMAL(18, 2)) AS VARCHAR) AS value, '2025-06-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') AS instant FROM part""")
+def xbrl_facts_of_table(spark, d):
+    path = _instance_of_parts(spark, d)
+    units = xbrl.units(spark, path).dropDuplicates(["unit_id"])  # each file declares it
+    out = xbrl.facts(spark, path).join(xbrl.contexts(spark, path), "context_id").join(units, "unit_id", "left")
+    return out.select("prefix", "concept", "context_id", "measure", "value", "instant")
+
+
+@query("""SELECT 'us-gaap_P' || p_partkey AS key, CASE WHEN p_partkey % 3 = 0 THEN 'terse ' || p_name ELSE p_name END AS label FROM part""")
+def linkbase_of_table(spark, d):
+    """Each part has a terse label, two of three a standard one as well."""
+    key = F.col("p_partkey").cast("string")
+    terse = F.concat(F.lit("<label label=\"t"), key, F.lit("\" role=\"http://www.xbrl.org/2003/role/terseLabel\">terse "), F.col("p_name"), F.lit("</label>"))
+    standard = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("<label label=\"t"), key, F.lit("\" role=\"http://www.xbrl.org/2003/role/label\">"), F.col("p_name"), F.lit("</label>"))).otherwise(F.lit(""))
+    loc = F.concat(F.lit("<loc href=\"a.xsd#us-gaap_P"), key, F.lit("\" label=\"l"), key, F.lit("\"/><labelArc from=\"l"), key, F.lit("\" to=\"t"), key, F.lit("\"/>"))
+    path = _files(spark, "linkbase", table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.concat(loc, terse, standard).alias("value")), "<linkbase>", "</linkbase>")
+    return facts.label_map(*xbrl.linkbase(spark, path)).select("key", "label")
+
+
+SQL_EVAL_SET = """q AS (SELECT 'q' || item_id % 150 AS id, CASE item_id % 4 WHEN 0 THEN 'passenger' WHEN 1 THEN 'cargo' WHEN 2 THEN 'financial' ELSE 'other' END AS route, CASE item_id % 3 WHEN 0 THEN 'keyword' WHEN 1 THEN 'semantic' ELSE 'odd' END AS query_type,
+  item_id * 7 AS gold_doc, CASE WHEN item_id % 5 = 0 THEN [] ELSE ['p1'] END AS locs, CASE WHEN item_id % 2 = 0 THEN '' ELSE text END AS span FROM benchmark),
+cat AS (SELECT doc_id AS gold_doc, CASE lang WHEN 'en' THEN 'passenger' WHEN 'de' THEN 'cargo' ELSE 'financial' END AS line FROM documents)"""
+
+
+@query(f"""WITH {SQL_EVAL_SET}, k AS (SELECT * FROM q LEFT JOIN cat USING (gold_doc))
+SELECT id, 'duplicate id' AS problem FROM q GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT id, 'unknown route' FROM k WHERE route = 'other' UNION ALL SELECT id, 'unknown query type' FROM k WHERE query_type = 'odd'
+UNION ALL SELECT id, 'unknown document' FROM k WHERE line IS NULL UNION ALL SELECT id, 'route and document differ' FROM k WHERE line <> route
+UNION ALL SELECT id, 'no label' FROM k WHERE len(locs) = 0 AND span = ''""")
+def eval_set_of_table(spark, d):
+    i = F.col("item_id")
+    pick = lambda n, *names: F.element_at(F.array(*map(F.lit, names)), (i % n + 1).cast("int"))
+    asked = table(spark, d, "benchmark").select(
+        F.concat(F.lit("q"), (i % 150).cast("string")).alias("id"), pick(4, "passenger", "cargo", "financial", "other").alias("route"), pick(3, "keyword", "semantic", "odd").alias("query_type"),
+        (i * 7).alias("gold_doc"), F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("p1"))).alias("gold_locators"), F.when(i % 2 == 0, "").otherwise(F.col("text")).alias("gold_span"),
+    )
+    line = F.when(F.col("lang") == "en", "passenger").when(F.col("lang") == "de", "cargo").otherwise("financial")
+    return sets.eval_set_problems(asked, table(spark, d, "documents").select("doc_id", line.alias("business_line")))
+
+
+# --- grading by locators, runs, details -----------------------------------------------------------------------------
+
+SQL_HITS = """gold AS (SELECT item_id AS query_id, item_id % 40 * 5 AS gold_doc, ['p' || (item_id % 9 + 1), 'p' || (item_id % 4 + 11)] AS gold_locators, text AS gold_span, CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'de' END AS business_line FROM benchmark),
+hits AS (SELECT query_id, r AS rank, CASE WHEN (query_id + r) % 3 = 0 THEN gold_doc + 1 ELSE gold_doc END AS doc_id, ['p' || (query_id % 7 + r), 'p' || (r + 9)] AS locators, CASE WHEN r = query_id % 11 THEN gold_span || ' etc' ELSE 'page ' || r END AS text
+  FROM gold, range(1, 11) t(r) WHERE query_id % 13 <> 0),
+grades AS (SELECT query_id, rank, CASE WHEN h.doc_id <> gold_doc THEN 0 WHEN contains(lower(text), lower(gold_span)) THEN 3 WHEN len(list_intersect(locators, gold_locators)) > 0 THEN 2 ELSE 1 END AS grade FROM hits h JOIN gold USING (query_id))"""
+
+
+def _run(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Labelled questions, and ten made-up hits for most of them: some in the wrong document, some with the gold span."""
+    i = F.col("item_id")
+    loc = lambda x: F.concat(F.lit("p"), x.cast("string"))
+    gold = table(spark, d, "benchmark").select(i.alias("query_id"), (i % 40 * 5).alias("gold_doc"), F.array(loc(i % 9 + 1), loc(i % 4 + 11)).alias("gold_locators"), F.col("text").alias("gold_span"), F.when(i % 2 == 0, "en").otherwise("de").alias("business_line"))
+    q, r = F.col("query_id"), F.col("rank")
+    rows = gold.where(q % 13 != 0).withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    hits = rows.select("query_id", "rank", F.when((q + r) % 3 == 0, F.col("gold_doc") + 1).otherwise(F.col("gold_doc")).alias("doc_id"), F.array(loc(q % 7 + r), loc(r + 9)).alias("locators"), F.when(r == q % 11, F.concat("gold_span", F.lit(" etc"))).otherwise(F.concat(F.lit("page "), r.cast("string"))).alias("text"))
+    return gold, hits
+
+
+@query(f"WITH {SQL_HITS} SELECT query_id, CAST(rank AS BIGINT) AS rank, CAST(grade AS BIGINT) AS grade FROM grades")
+def locator_grades(spark, d):
+    gold, hits = _run(spark, d)
+    return ranking.graded(hits, gold).withColumns({"rank": F.col("rank").cast("long"), "grade": F.col("grade").cast("long")})
+
+
+@query(f"""WITH {SQL_HITS}, cells AS (SELECT query_id, max(CASE WHEN grade >= 2 AND rank <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS r1, max(CASE WHEN grade >= 2 AND rank <= 3 THEN 1.0::DOUBLE ELSE 0 END) AS r3,
+  coalesce(1.0::DOUBLE / min(CASE WHEN grade >= 2 THEN rank END), 0) AS rr, sum(CASE WHEN rank <= 3 THEN grade / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN ideal <= 3 THEN grade / log2(ideal + 1) ELSE 0 END) AS best
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, rank) AS ideal FROM grades) GROUP BY query_id)
+SELECT count(*) AS n, {r6('avg(coalesce(r1, 0))')} AS r_at_1, {r6('avg(coalesce(r3, 0))')} AS r_at_3, {r6('avg(coalesce(rr, 0))')} AS mrr_at_10, {r6('avg(coalesce(dcg, 0))')} AS dcg_at_3, {r6('avg(CASE WHEN coalesce(best, 0) = 0 THEN 0 ELSE dcg / best END)')} AS ndcg_at_3,
+  {r6("avg(CASE WHEN (CASE WHEN query_id % 13 = 0 THEN 'unknown' WHEN query_id % 5 = 0 THEN 'fr' ELSE business_line END) = business_line THEN 1.0::DOUBLE ELSE 0 END)")} AS route_accuracy
+FROM gold LEFT JOIN cells USING (query_id)""")
+def run_metrics(spark, d):
+    gold, hits = _run(spark, d)
+    q = F.col("query_id")
+    routes = gold.select("query_id", F.when(q % 13 == 0, "unknown").when(q % 5 == 0, "fr").otherwise(F.col("business_line")).alias("route"))
+    out = ranking.run_metrics(ranking.graded(hits, gold), gold, routes)
+    return out.select("n", *[round6(F.col(c)).alias(c) for c in out.columns if c != "n"])
+
+
+@query(f"""WITH {SQL_HITS}, g AS (SELECT query_id, string_agg(CAST(grade AS VARCHAR), ',' ORDER BY rank) AS grades FROM grades GROUP BY query_id)
+SELECT query_id, business_line AS route, coalesce(grades, '') AS grades, coalesce(h.doc_id, -1) AS top_doc, coalesce(array_to_string(h.locators, ','), '') AS top_locators FROM gold LEFT JOIN g USING (query_id) LEFT JOIN (SELECT * FROM hits WHERE rank = 1) h USING (query_id)""")
+def question_details(spark, d):
+    gold, hits = _run(spark, d)
+    asked = gold.select("query_id", F.col("gold_span").alias("question"), F.col("business_line").alias("route"), F.lit("keyword").alias("query_type"))
+    out = ranking.question_details(asked, hits, ranking.graded(hits, gold))
+    return out.select("query_id", "route", F.array_join(F.transform("grades", lambda g: g.cast("string")), ",").alias("grades"), F.coalesce("top_doc", F.lit(-1)).alias("top_doc"), F.array_join("top_locators", ",").alias("top_locators"))
+
+
+@query("SELECT doc_id, 1 - (1 - n_chars::DOUBLE / 65536) AS similarity FROM documents")
+def distance_to_similarity(spark, d):
+    from ..functions.vectors import similarity
+
+    return table(spark, d, "documents").select("doc_id", similarity(1 - F.col("n_chars") / F.lit(65536.0)).alias("similarity"))

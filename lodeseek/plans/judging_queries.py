@@ -27,10 +27,10 @@ def judge_means(spark, d):
     return means.select("model", F.when(F.isnan("m"), F.lit(-1.0)).otherwise(round6(F.when(~F.isnan("m"), F.col("m")))).alias("m"))
 
 
-@query(f"WITH {SQL_SCORES} SELECT conv_id, turn, ctx, CASE WHEN ctx LIKE 'gold_source%' AND NOT isnan(m) THEN m END AS shown FROM s WHERE turn % 4 > 1")
+@query(f"WITH {SQL_SCORES} SELECT conv_id, turn, ctx, CASE WHEN ctx LIKE 'gold_source%' AND NOT isnan(m) THEN m END AS shown FROM s")
 def withheld_metric(spark, d):
-    s = _scores(spark, d).where("turn % 4 > 1")
-    return s.select("conv_id", "turn", "ctx", evaluation.with_provenance(F.col("m"), F.col("ctx")).alias("shown"))
+    s = _scores(spark, d)
+    return s.select("conv_id", "turn", "ctx", evaluation.with_provenance(F.when(~F.isnan("m"), F.col("m")), F.col("ctx")).alias("shown"))
 
 
 @query(f"""WITH {SQL_UNITS}, {SQL_LABELLED}, w AS (SELECT id, gold_doc, i, gold_locators[i] AS locator FROM (SELECT *, unnest(range(1, len(gold_locators) + 1)) AS i FROM labelled)),

@@ -9,8 +9,12 @@ from ..functions.formats import citation
 from ..functions.text import STOP_WORDS, round6, stemmed, tokens
 from ..functions.vectors import l2_normalise as unit_vector
 from ..operators import evaluation, guards, ranking, routing
-from ..operators.search import Bm25Index, dense_hits, over_fetch, rerank
+from ..operators.search import Bm25Index, over_fetch, rerank
+from ..operators.stores import get_store, matrix_hits
+from ..sources.scratch import scratch
+from ..sources.sets import PipelineConfig
 from . import answer as plans
+from . import judging, models
 from .corpus_queries import SQL_UNITS, _units
 from .registry import query, table
 
@@ -62,15 +66,19 @@ def sql_dense(k: int, where: str = "TRUE", name: str = "dense") -> str:
     return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM dense_all WHERE {where}) WHERE rank <= {k})"""
 
 
-def dense_all(spark, d) -> DataFrame:
-    """A stated set of 20 queries against all other vectors, with both labels."""
+def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A stated set of 20 queries, and all other vectors; either with its label."""
     e = table(spark, d, "embeddings")
-    items = e.where("vec_id >= 20").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
-    asked = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    labels = e.select(F.col("vec_id"), "label")
-    hits = dense_hits(F.broadcast(asked), items)  # 20 queries
-    hits = hits.join(labels.select(F.col("vec_id").alias("item_id"), "label"), "item_id")
-    return hits.join(F.broadcast(labels.where("vec_id < 20")).select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id")
+    items = e.where("vec_id >= 20").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"), "label")
+    return e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("q_label")), items
+
+
+def dense_top(spark, d, k: int, same: bool = False) -> DataFrame:
+    """The best ``k`` with both labels; labels join the few hits."""
+    asked, items = _vectors(spark, d)
+    line = lambda df, label: df.withColumn("business_line", F.col(label).cast("string"))
+    hits = matrix_hits(line(asked, "q_label"), line(items, "label"), k, same)
+    return hits.join(items.select("item_id", "label"), "item_id").join(F.broadcast(asked.select("query_id", "q_label")), "query_id")  # 20 queries
 
 
 def _rank(df: DataFrame) -> DataFrame:
@@ -110,36 +118,55 @@ def l2_normalise(spark, d):
 
 @query(f"WITH {SQL_DENSE_ALL}, {sql_dense(10)} SELECT query_id, item_id, score, rank FROM dense")
 def cosine_topk(spark, d):
-    return _rank(ranking.top_k(dense_all(spark, d), 10)).select("query_id", "item_id", "score", "rank")
+    return _rank(matrix_hits(*_vectors(spark, d), 10)).select("query_id", "item_id", "score", "rank")
 
 
 @query(f"WITH {SQL_DENSE_ALL}, {sql_dense(10, 'label = q_label')} SELECT query_id, item_id, score, rank FROM dense")
 def cosine_topk_filtered(spark, d):
-    return _rank(ranking.top_k(dense_all(spark, d).where("label = q_label"), 10)).select("query_id", "item_id", "score", "rank")
+    return _rank(dense_top(spark, d, 10, same=True)).select("query_id", "item_id", "score", "rank")
 
 
 @query(f"""WITH {SQL_DENSE_ALL}, {sql_dense(120, name='wide')}
 SELECT query_id, item_id, score, rank FROM (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM wide WHERE label = q_label) WHERE rank <= 10""")
 def overfetch_postfilter_topk(spark, d):
-    return _rank(over_fetch(dense_all(spark, d), F.col("label") == F.col("q_label"), 10)).select("query_id", "item_id", "score", "rank")
+    return _rank(over_fetch(dense_top(spark, d, 120), F.col("label") == F.col("q_label"), 10)).select("query_id", "item_id", "score", "rank")
 
 
 @query(f"""WITH {SQL_DENSE_ALL}, {sql_dense(5)}
 SELECT query_id, max(score) AS best, CASE WHEN max(score) < 0.45 THEN 'weak_evidence:' || format('{{:,.3f}}', max(score)) || '<0.45' END AS reason FROM dense GROUP BY query_id""")
 def dense_confidence_gate(spark, d):
-    best = ranking.top_k(dense_all(spark, d), 5).groupBy("query_id").agg(F.max("score").alias("best"), F.count("*").alias("n"))
+    best = matrix_hits(*_vectors(spark, d), 5).groupBy("query_id").agg(F.max("score").alias("best"), F.count("*").alias("n"))
     return best.select("query_id", "best", guards.evidence_gate(F.col("n"), F.col("best"), 0.45).alias("reason"))
 
 
 # --- fusion and reranking -----------------------------------------------------------------------------------------
 
-SQL_BOTH = f"WITH {SQL_BM25}, {sql_sparse(20, 'query_id < 20')}, {SQL_DENSE_ALL}, {sql_dense(20)}"
+def sql_hashed(table: str, key: str, text: str, dims: int = 256) -> str:
+    """Rows (key, place, w) of hashed vectors, without those places that are 0."""
+    return f"""SELECT {key}, place, sum(sign) AS w FROM (SELECT {key}, ('0x' || substr(md5(t), 1, 7))::BIGINT % {dims} AS place, CASE WHEN substr(md5(t), 8, 1) >= '8' THEN 1.0::DOUBLE ELSE -1.0 END AS sign
+  FROM (SELECT {key}, unnest({sql_tokens(text)}) AS t FROM {table})) GROUP BY ALL"""
+
+
+SQL_ASKED_DENSE = f"""dv AS ({sql_hashed('documents', 'doc_id', 'text')}), dlen AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dv GROUP BY 1),
+qv AS ({sql_hashed('questions', 'query_id', 'question')}), qlen AS (SELECT query_id, sqrt(sum(w * w)) AS n FROM qv GROUP BY 1),
+dots AS (SELECT query_id, doc_id, sum(qv.w * dv.w) AS s FROM qv JOIN dv USING (place) GROUP BY ALL),
+cosines AS (SELECT q.query_id, doc.doc_id AS item_id, coalesce(s / (greatest(qlen.n, 1e-12) * greatest(dlen.n, 1e-12)), 0) AS cosine
+  FROM questions q CROSS JOIN documents doc LEFT JOIN qlen USING (query_id) LEFT JOIN dlen USING (doc_id) LEFT JOIN dots USING (query_id, doc_id))"""
+
+
+def sql_asked_dense(k: int) -> str:
+    return f"{SQL_ASKED_DENSE}, dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT query_id, item_id, {r6('cosine')} AS score FROM cosines)) WHERE rank <= {k})"
+
+
+SQL_BOTH = f"WITH {SQL_BM25}, {sql_sparse(20)}, {sql_asked_dense(20)}"
 
 
 def both_lists(spark, d) -> tuple[DataFrame, DataFrame]:
-    dense = ranking.top_k(dense_all(spark, d), 20).select("query_id", "item_id", "score", "rank")
-    sparse = Bm25Index(corpus_items(spark, d)).search(questions(spark, d).where("query_id < 20"), 20).select("query_id", "item_id", "score", "rank")
-    return dense, sparse
+    """The best 20 documents of every question, by its embedding and by BM25."""
+    embedder, items, asked = plans.get_embedder("hashed"), corpus_items(spark, d), questions(spark, d)
+    dense = matrix_hits(embedder.queries(asked, "question"), embedder.documents(items, "text"), 20)
+    sparse = Bm25Index(items).search(asked, 20)
+    return dense, sparse.select("query_id", "item_id", "score", "rank")
 
 
 SQL_NORMS = """dn AS (SELECT query_id, item_id, CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END AS norm FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM dense WINDOW w AS (PARTITION BY query_id))),
@@ -214,7 +241,7 @@ per_query AS (SELECT query_id, q_label,
 
 
 def graded_hits(spark, d) -> DataFrame:
-    hits = ranking.top_k(dense_all(spark, d), 10)
+    hits = dense_top(spark, d, 10)
     same = F.col("label") == F.col("q_label")
     g = F.when(same & (F.col("item_id") % 3 == 0), 3).when(same, 2).when(F.abs(F.col("label") - F.col("q_label")) == 1, 1).otherwise(0)
     return hits.select("query_id", "q_label", "rank", g.alias("grade"))
@@ -458,40 +485,97 @@ def threshold_select(spark, d):
 # --- models behind functions --------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH e AS ({sql_hashed('documents', 'doc_id', "'passage: ' || text", 64)}), n AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM e GROUP BY 1)
+SELECT d.doc_id, string_agg(CAST(CAST(floor(coalesce(w, 0) / greatest(n, 1e-12) * 1e6 + 0.5) AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS v
+FROM documents d CROSS JOIN range(64) r(i) LEFT JOIN n USING (doc_id) LEFT JOIN e ON e.doc_id = d.doc_id AND e.place = i GROUP BY d.doc_id""")
 def embed_hash(spark, d):
-    out = plans.embed_hashed(table(spark, d, "documents").select("doc_id", "text"), "text", 64, prefix="passage: ")
-    return out.select("doc_id", F.transform("v", lambda x: F.floor(x.cast("double") * 1e6 + 0.5).cast("long")).alias("v"))
+    out = models.Embedder(64, document_prefix="passage: ").documents(table(spark, d, "documents").select("doc_id", "text"), "text")
+    return out.select("doc_id", F.array_join(F.transform("v", lambda x: F.floor(x * 1e6 + 0.5).cast("long").cast("string")), ",").alias("v"))
 
 
-def _answered(spark, d) -> DataFrame:
-    lang = F.col("lang")
-    items = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "doc_id", lang.alias("business_line"), F.lit("p1").alias("locator"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), "text")
-    asked = questions(spark, d).select("query_id", "question").unionByName(spark.createDataFrame([(-i - 1, q) for i, q in enumerate(ASKED)], "query_id long, question string"))
-    return plans.answer(asked, items)
+@query(f"WITH {SQL_DENSE_ALL}, {sql_dense(10, 'label = q_label')} SELECT query_id, item_id, score, rank FROM dense")
+def store_search_filtered(spark, d):
+    """Through a store that is written and opened again."""
+    asked, items = _vectors(spark, d)
+    line = lambda df, label: df.withColumn("business_line", F.col(label).cast("string"))
+    place = scratch(spark, "store")
+    get_store("exact", spark, place).build(line(items, "label"))
+    return _rank(get_store("exact", spark, place).search(line(asked, "q_label"), 10, filtered=True)).select("query_id", "item_id", "score", "rank")
 
 
-@query()
+def _chunks(spark, d) -> DataFrame:
+    title = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "doc_id", F.col("lang").alias("business_line"), F.array(F.lit("p1")).alias("locators"), title.alias("title"), "text")
+
+
+def _answered(spark, d) -> DataFrame:
+    asked = questions(spark, d).select("query_id", "question").unionByName(spark.createDataFrame([(-i - 1, q) for i, q in enumerate(ASKED)], "query_id long, question string"))
+    retriever = plans.Retriever(_chunks(spark, d), PipelineConfig(), scratch(spark, "index")).build()
+    return plans.answer(asked, retriever)
+
+
+def sql_overlap(part: str, whole: str) -> str:
+    return f"coalesce(len(list_intersect(list_distinct({sql_tokens(part)}), list_distinct({sql_tokens(whole)})))::DOUBLE / nullif(len(list_distinct({sql_tokens(part)})), 0), 0)"
+
+
+SQL_ANSWERED = rf"""WITH questions0 AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS question FROM benchmark
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"({-i - 1}, '{q.replace(chr(39), chr(39) * 2)}')" for i, q in enumerate(ASKED))})),
+guarded AS (SELECT query_id, question, {SQL_CARRIER} AS carrier, {SQL_LIVE} AS live FROM questions0),
+questions AS (SELECT query_id, question, NULL::VARCHAR AS business_line FROM guarded WHERE carrier IS NULL AND NOT live),
+{SQL_BM25[SQL_BM25.index("dls AS"):]}, {sql_sparse(30)}, {sql_asked_dense(30)}, {SQL_NORMS},
+fused AS ({sql_best(sql_weighted('0.5::DOUBLE'), 15)}),
+placed AS (SELECT f.query_id, f.item_id, f.rank, doc.lang AS line, doc.text FROM fused f JOIN documents doc ON doc.doc_id = f.item_id),
+lead AS (SELECT query_id, line AS route FROM placed WHERE rank = 1),
+scoped AS (SELECT * FROM (SELECT p.query_id, p.item_id, p.text, row_number() OVER (PARTITION BY p.query_id ORDER BY p.rank) AS rank FROM placed p JOIN lead ON lead.query_id = p.query_id AND lead.route = p.line) WHERE rank <= 5),
+gate AS (SELECT query_id, max(cosine) AS best, count(*) AS n, string_agg(text, chr(10) ORDER BY rank) AS context, list(text ORDER BY rank) AS contexts FROM scoped JOIN cosines USING (query_id, item_id) GROUP BY query_id),
+sentences AS (SELECT query_id, question, i, s[i] AS s FROM (SELECT query_id, question, s, unnest(range(1, len(s) + 1)) AS i FROM (
+  SELECT query_id, question, list_filter(string_split(regexp_replace(contexts[1], '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM gate JOIN questions USING (query_id)))),
+chosen AS (SELECT query_id, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(list_distinct({sql_tokens('s')}), list_distinct({sql_tokens('question')}))) DESC, i) AS k FROM sentences) WHERE k = 1),
+answered AS (SELECT g.query_id, g.question, context, contexts, n, route,
+  CASE WHEN carrier IS NOT NULL THEN 'out_of_scope_carrier:' || carrier WHEN live THEN 'requires_live_data' WHEN coalesce(n, 0) = 0 THEN 'no_hits' WHEN best < 0.05 THEN 'weak_evidence:' || format('{{:,.3f}}', best) || '<0.05' END AS reason,
+  coalesce(s, '') || ' [1]' AS said, carrier, live
+  FROM guarded g LEFT JOIN gate USING (query_id) LEFT JOIN lead USING (query_id) LEFT JOIN chosen USING (query_id)),
+final AS (SELECT query_id, question, reason IS NOT NULL AS blocked, reason, CASE WHEN reason IS NULL THEN route END AS route, context, contexts, n,
+  CASE WHEN carrier IS NOT NULL THEN replace('{guards.REFUSAL}', '{{carrier}}', carrier) WHEN live THEN '{guards.DEFLECTION}' WHEN reason IS NOT NULL THEN '{guards.ABSTENTION}' ELSE said END AS answer,
+  reason IS NULL AND len(list_filter(regexp_extract_all(said, '\[(\d+)\]', 1), lambda x: x::BIGINT < 1 OR x::BIGINT > n)) = 0 AS citations_valid FROM answered)"""
+
+
+@query(f"{SQL_ANSWERED} SELECT query_id, blocked, reason, route, answer, citations_valid, coalesce(n, -1) AS n_contexts FROM final")
 def answer_pipeline(spark, d):
-    return _answered(spark, d).select("query_id", "blocked", "reason", "route", "answer", "citations_valid", F.size("contexts").alias("n_contexts"))
+    return _answered(spark, d).select("query_id", "blocked", "reason", "route", "answer", "citations_valid", F.coalesce(F.size("contexts"), F.lit(-1)).cast("long").alias("n_contexts"))
 
 
-@query()
+@query(f"{SQL_ANSWERED} SELECT query_id, answer, citations_valid FROM final WHERE NOT blocked")
 def generate_extractive(spark, d):
     return _answered(spark, d).where("not blocked").select("query_id", "answer", "citations_valid")
 
 
+SQL_JUDGED = f"{SQL_ANSWERED}, judged AS (SELECT f.*, b.text AS ideal_answer FROM final f JOIN benchmark b ON b.item_id = f.query_id WHERE NOT blocked AND n > 0)"
+
+
 def _judged(spark, d) -> DataFrame:
     ideal = questions(spark, d).select("query_id", F.col("span").alias("ideal_answer"))
-    return _answered(spark, d).where("not blocked and size(contexts) > 0").join(ideal, "query_id").withColumnRenamed("query_id", "id")
+    return judging.judgeable(_answered(spark, d)).join(ideal, "query_id").withColumnRenamed("query_id", "id")
 
 
-@query()
+@query(f"""{SQL_JUDGED} SELECT query_id AS id, {r6(sql_overlap('answer', 'context'))} AS proxy_faithfulness, {r6(sql_overlap('question', 'answer'))} AS proxy_relevancy,
+{r6(f"len(list_filter(contexts, lambda c: {sql_overlap('ideal_answer', 'c')} >= 0.3))::DOUBLE / len(contexts)")} AS proxy_context_precision,
+{r6(sql_overlap('ideal_answer', 'context'))} AS proxy_context_recall, {r6('1 - ' + sql_overlap('answer', 'context'))} AS proxy_hallucination FROM judged""")
 def judge_proxy(spark, d):
     out = evaluation.judge(_judged(spark, d))
     return out.select("id", *[round6(F.col(c)).alias(c) for c in out.columns if c.startswith("proxy_")])
 
 
-@query()
+#: of each question, three units of its document stand for the gold source
+SQL_GOLD = f"""units AS {SQL_UNITS.split(" AS ", 1)[1]}, gold AS (SELECT b.item_id AS id, coalesce(string_agg(u.text, chr(10) ORDER BY list_position(['p3', 'p1', 'p2'], u.locator)), b.text) AS gold_text
+  FROM benchmark b LEFT JOIN units u ON u.doc_id = b.item_id * 3 AND u.locator IN ('p1', 'p2', 'p3') GROUP BY b.item_id, b.text)"""
+
+
+@query(f"""{SQL_JUDGED}, {SQL_GOLD}, against AS (SELECT query_id AS id, answer, context, ideal_answer, gold_text FROM judged JOIN gold ON gold.id = judged.query_id)
+SELECT id, 'retrieved' AS variant, {r6('1 - ' + sql_overlap('answer', 'context'))} AS score FROM against
+UNION ALL SELECT id, 'ideal_answer', {r6('1 - ' + sql_overlap('answer', 'ideal_answer'))} FROM against UNION ALL SELECT id, 'gold_source', {r6('1 - ' + sql_overlap('answer', 'gold_text'))} FROM against""")
 def hallucination_variants(spark, d):
-    return evaluation.hallucination_variants(_judged(spark, d).withColumn("gold_text", F.lit(None).cast("string"))).withColumn("score", round6(F.col("score")))
+    records = _judged(spark, d)
+    wanted = records.select("id", "ideal_answer", (F.col("id") * 3).alias("gold_doc"), F.array(F.lit("p3"), F.lit("p1"), F.lit("p2")).alias("gold_locators"))
+    gold = evaluation.gold_text(wanted, _units(spark, d))
+    return evaluation.hallucination_variants(records.join(gold, "id")).withColumn("score", round6(F.col("score")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.formats import table_row
+
 EVAL_SET = "id string, question string, route string, query_type string, gold_doc string, gold_locators array<string>, gold_span string, ideal_answer string, notes string"
 ACCEPTANCE = "id string, question string, behaviour string, expect_route string, expect_doc string, must_include array<string>, must_not_include array<string>, rationale string"
 
@@ -49,6 +52,7 @@ class PipelineConfig:
     overlap: int = 50
     embedding: str = "hashed"
     store: str = "exact"
+    vocabulary: str | None = None
     mode: str = "hybrid"
     fusion: str = "weighted"
     alpha: float = 0.5
@@ -58,7 +62,7 @@ class PipelineConfig:
 
     def index_key(self) -> tuple:
         """What an index depends on; the search mode is not among it."""
-        return (self.parser, self.strategy, self.size, self.overlap, self.embedding, self.store)
+        return (self.parser, self.strategy, self.size, self.overlap, self.vocabulary, self.embedding, self.store)
 
     @classmethod
     def of(cls, values: dict) -> PipelineConfig:
@@ -89,7 +93,94 @@ def missing_from_cache(wanted: DataFrame, cache: DataFrame | None, key: list[str
     return wanted if cache is None else wanted.join(cache.select(*key), key, "left_anti")
 
 
-def save_stage(df: DataFrame, path: str) -> None:
-    """A stage's rows as JSON, and beside them a Markdown table of the (few) rows."""
-    df.write.mode("overwrite").json(path)
-    df.coalesce(1).select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |")).alias("value")).write.mode("overwrite").text(path.rstrip("/") + ".md")
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def read_through(wanted: DataFrame, path: str, key: list[str], compute: Callable[[DataFrame], DataFrame], partition: list[str]) -> DataFrame:
+    """The rows of ``wanted`` (by ``key``) from a Parquet cache, partitioned by ``partition`` (a model, or a framework
+    and a model); those that it lacks are computed and added first.  A run that was cut off goes on where it ended:
+    what is written is not computed again."""
+    spark = wanted.sparkSession
+    cache = spark.read.parquet(path) if path_exists(spark, path) else None
+    todo = missing_from_cache(wanted, cache, key)
+    if not todo.isEmpty():
+        compute(todo).write.mode("append").partitionBy(*partition).parquet(path)
+    return spark.read.parquet(path).join(wanted.select(*key).distinct(), key, "left_semi") if path_exists(spark, path) else compute(todo)
+
+
+def shown(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """The cells of a table as text: null is empty, fractions have four places."""
+    out = []
+    for name in columns or df.columns:
+        kind = df.schema[name].dataType.simpleString()
+        cell = F.format_string("%.4f", F.col(name).cast("double")) if kind in ("double", "float") else F.col(name).cast("string")
+        out.append(F.coalesce(F.when(F.col(name).isNotNull(), cell), F.lit("")))
+    return out
+
+
+def markdown_table(df: DataFrame, columns: list[str] | None = None) -> str:
+    """A Markdown table of a few rows, in their order."""
+    columns = columns or df.columns
+    rows = [r[0] for r in df.select(table_row(*shown(df, columns))).collect()]  # a report's table
+    return "\n".join(["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *rows]) if rows else "_(no rows)_"
+
+
+def score_rows(metrics: DataFrame, **prefix) -> DataFrame:
+    """Rows for a table: the prefix columns, then the scores without the route accuracy."""
+    scores = [c for c in metrics.columns if c != "route_accuracy" and c not in prefix]
+    return metrics.select(*[F.lit(v).alias(k) for k, v in prefix.items()], *scores)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file, wherever Spark's storage is."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(jpath, True)
+    out.write(text.encode("utf-8"))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one small file
+
+
+def save_stage(df: DataFrame, folder: str, stage: str, title: str, notes: str = "", columns: list[str] | None = None, extra: str = "") -> str:
+    """Writes a stage's rows as JSON lines (folder/stage.json) and, for readers, as a Markdown page (folder/stage.md) with
+    title, table, extra text and notes; returns the path of the page."""
+    spark = df.sparkSession
+    rows = df.cache()  # a report's few rows
+    rows.coalesce(1).write.mode("overwrite").json(f"{folder}/{stage}.json")
+    parts = [f"# {title}", markdown_table(rows, columns), *([extra] if extra else []), *(["## Reading of these numbers", notes] if notes else [])]
+    write_text(spark, f"{folder}/{stage}.md", "\n\n".join(parts) + "\n")
+    rows.unpersist()
+    return f"{folder}/{stage}.md"
+
+
+def build_report(spark: SparkSession, template: str, folder: str, out: str) -> list[str]:
+    """Puts the pages of a folder's stages where a template names them as {{stage}}; the stage's title goes and its
+    headings sink by two levels.  Returns the stages that have no page; a line in the report says so."""
+    import re
+
+    missing: list[str] = []
+
+    def body(m: re.Match) -> str:
+        name = m[1].strip()
+        if not path_exists(spark, f"{folder}/{name}.md"):
+            missing.append(name)
+            return f"_No results of {name} yet._"
+        lines = read_text(spark, f"{folder}/{name}.md").strip().split("\n")
+        lines = lines[1:] if lines[0].startswith("# ") else lines
+        return "\n".join("##" + x if x.startswith("#") else x for x in lines).strip()
+
+    write_text(spark, out, re.sub(r"\{\{([^{}]+)\}\}", body, template))
+    return missing
+
+
+def refresh_notes(spark: SparkSession, folder: str, stage: str, title: str, by: list[str], notes: Callable[[dict], str]) -> str:
+    """Writes a stage's page anew from its saved rows, with notes told from the best row by ``by``; nothing is run."""
+    rows = spark.read.json(f"{folder}/{stage}.json")
+    best = rows.orderBy(*[F.desc(c) for c in by]).limit(1).collect()[0].asDict()
+    pages = [f"# {title}", markdown_table(rows), "## Reading of these numbers", notes(best)]
+    write_text(spark, f"{folder}/{stage}.md", "\n\n".join(pages) + "\n")
+    return f"{folder}/{stage}.md"

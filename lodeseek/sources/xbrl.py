@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.facts import namespace_prefix
+
 
 def _read(spark: SparkSession, path: str, tag: str, schema: str | T.StructType) -> DataFrame:
     return spark.read.format("xml").options(rowTag=tag, ignoreNamespace=True).schema(schema).load(path)
@@ -27,18 +29,23 @@ def units(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_id").alias("unit_id"), F.element_at(F.split(measure, ":"), -1).alias("measure"))
 
 
-def facts(spark: SparkSession, path: str, prefixes: tuple[str, ...] = ("us-gaap", "dei", "srt")) -> DataFrame:
+def facts(spark: SparkSession, path: str, own: dict[str, str] | None = None) -> DataFrame:
     """(pos, prefix, concept, context_id, unit_id, value): elements with a contextRef, found in the files' text.
 
-    An instance has one element name a concept, so that no row tag fits; the elements are cut by a pattern."""
+    An instance has one element name a concept, so that no row tag fits; the elements are cut by a pattern.  Prefixes
+    are the short names of the namespaces that the file declares (namespace_prefix, ``own`` adds a filer's): facts of any
+    namespace are read.  A file is one row, as its declarations stand at its head."""
     text = spark.read.text(path, wholetext=True).withColumn("file", F.abs(F.hash(F.input_file_name())).cast("long"))
-    names = "|".join(prefixes)
-    element = rf"(?s)<((?:{names}):[\w\-.]+)((?:\s+[\w:\-]+=\"[^\"]*\")*)\s*(?:/>|>(.*?)</\1>)"
-    rows = text.select("file", F.posexplode(F.regexp_extract_all("value", F.lit(element), F.lit(0))).alias("pos", "e"))
+    attribute = r"(?:\s+[\w:\-.]+=\"[^\"]*\")*?"
+    element = rf"(?s)<([\w\-.]+):([\w\-.]+)({attribute}\s+contextRef=\"[^\"]*\"{attribute})\s*(?:/>|>(.*?)</\1:\2\s*>)"
+    declared = r"xmlns:([\w\-.]+)=\"([^\"]*)\""
+    spaces = F.arrays_zip(F.regexp_extract_all("value", F.lit(declared), F.lit(1)).alias("name"), F.regexp_extract_all("value", F.lit(declared), F.lit(2)).alias("uri"))
+    rows = text.select("file", spaces.alias("spaces"), F.posexplode(F.regexp_extract_all("value", F.lit(element), F.lit(0))).alias("pos", "e"))
     part = lambda k: F.regexp_extract("e", element, k)
-    attr = lambda a: F.nullif(F.regexp_extract(part(2), rf'{a}="([^"]*)"', 1), F.lit(""))
-    out = rows.select((F.col("file") * (1 << 31) + F.col("pos")).alias("pos"), F.split(part(1), ":").getItem(0).alias("prefix"), F.split(part(1), ":").getItem(1).alias("concept"), attr("contextRef").alias("context_id"), attr("unitRef").alias("unit_id"), part(3).alias("value"))
-    return out.where("context_id is not null")
+    attr = lambda a: F.nullif(F.regexp_extract(part(3), rf'{a}="([^"]*)"', 1), F.lit(""))
+    rows = rows.select((F.col("file") * (1 << 31) + F.col("pos")).alias("pos"), "spaces", part(1).alias("raw"), part(2).alias("concept"), attr("contextRef").alias("context_id"), attr("unitRef").alias("unit_id"), part(4).alias("value"))
+    uri = F.get(F.transform(F.filter("spaces", lambda x: x["name"] == F.col("raw")), lambda x: x["uri"]), F.lit(0))
+    return rows.select("pos", F.coalesce(namespace_prefix(uri, own), F.col("raw")).alias("prefix"), "concept", "context_id", "unit_id", "value")
 
 
 def linkbase(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

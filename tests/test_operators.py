@@ -144,10 +144,86 @@ def test_yaml(spark, tmp_path):
 
 
 def test_save_stage(spark, tmp_path):
-    sets.save_stage(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "stage"))
-    assert spark.read.json(str(tmp_path / "stage")).collect()[0]["a"] == 1
-    assert spark.read.text(str(tmp_path / "stage.md")).collect()[0][0] == "| 1 |  |"
+    folder = f"file://{tmp_path}"
+    rows = spark.createDataFrame([("a", 0.25, None), ("b", 1.0, 7)], "name string, score double, n int")
+    sets.save_stage(rows, folder, "stage1", "First", notes="They differ.", extra="More.")
+    assert (tmp_path / "stage1.md").read_text() == "# First\n\n| name | score | n |\n|---|---|---|\n| a | 0.2500 |  |\n| b | 1.0000 | 7 |\n\nMore.\n\n## Reading of these numbers\n\nThey differ.\n"
+    assert spark.read.json(f"{folder}/stage1.json").count() == 2
+    sets.save_stage(rows.limit(0), folder, "empty", "None", columns=["name"])
+    assert "_(no rows)_" in (tmp_path / "empty.md").read_text()
+    missing = sets.build_report(spark, "# Report\n\n{{stage1}}\n\n{{ stage9 }}\n", folder, f"{folder}/report.md")
+    report = (tmp_path / "report.md").read_text()
+    assert missing == ["stage9"] and "# First" not in report and "#### Reading of these numbers" in report and "No results of stage9" in report
+    sets.refresh_notes(spark, folder, "stage1", "First", ["score"], lambda best: f"Best: {best['name']}")
+    assert "Best: b" in (tmp_path / "stage1.md").read_text()
+
+
+def test_read_through(spark, tmp_path):
+    path, calls = f"file://{tmp_path}/cache", []
+
+    def compute(todo):
+        calls.append(sorted(r["id"] for r in todo.collect()))
+        return todo.withColumn("twice", F.col("id") * 2)
+
+    wanted = spark.createDataFrame([("m", 1), ("m", 2)], "model string, id long")
+    assert sets.read_through(wanted, path, ["model", "id"], compute, ["model"]).count() == 2
+    more = wanted.union(spark.createDataFrame([("n", 1)], "model string, id long"))
+    assert sorted((r["model"], r["twice"]) for r in sets.read_through(more, path, ["model", "id"], compute, ["model"]).collect()) == [("m", 2), ("m", 4), ("n", 2)]
+    assert calls == [[1, 2], [1]]
+
+
+def a_pdf(pages, deflate):
+    """A PDF file with a line of text a list entry of each page."""
+    import zlib
+
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{' '.join(f'{3 + 2 * i} 0 R' for i in range(len(pages)))}] /Count {len(pages)} >>"]
+    for i, lines in enumerate(pages):
+        shown = lambda x: "(" + x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") + ")"
+        content = ("BT /F1 12 Tf 72 700 Td " + " ".join(f"{shown(x)} Tj 0 -14 Td" for x in lines) + " ET").encode("cp1252")
+        data = zlib.compress(content) if deflate else content
+        objects += [f"<< /Type /Page /Parent 2 0 R /Contents {4 + 2 * i} 0 R >>", (f"<< /Length {len(data)} {'/Filter /FlateDecode' if deflate else ''} >>\nstream\n", data, "\nendstream")]
+    out = b"%PDF-1.4\n"
+    for n, o in enumerate(objects, 1):
+        body = o.encode() if isinstance(o, str) else o[0].encode() + o[1] + o[2].encode()
+        out += f"{n} 0 obj\n".encode() + body + b"\nendobj\n"
+    return out + b"trailer << /Root 1 0 R >>\n%%EOF\n"
+
+
+@pytest.mark.parametrize("deflate", [False, True])
+def test_pdf_pages(spark, tmp_path, deflate):
+    from lodeseek.sources import pdf
+
+    pages = [["Rule (one): baggage", "costs 5\\6 dollars – é"], [], ["Last page"]]
+    (tmp_path / "a.pdf").write_bytes(a_pdf(pages, deflate))
+    rows = pdf.parse_pdfs(spark, f"file://{tmp_path}").orderBy("page").collect()
+    assert [(r["page"], r["text"]) for r in rows] == [(1, "Rule (one): baggage\ncosts 5\\6 dollars – é"), (2, ""), (3, "Last page")]
+    assert pdf._shown(b"[(Wo) -30 (rd) -400 (two)] TJ T* <48692041> Tj (\\101\\n) '") == "Word two\nHi A\nA\n".strip("\n")
+    with pytest.raises(ValueError):
+        pdf.parse_pdfs(spark, f"file://{tmp_path}", "none")
+
+
+def test_token_count(spark):
+    assert one(spark, "one two  three", chunking.token_count) == 3
+
+
+def test_namespace_prefix(spark):
+    from lodeseek.operators.facts import namespace_prefix
+
+    for uri, want in (("http://fasb.org/us-gaap/2025", "us-gaap"), ("http://xbrl.sec.gov/dei/2025", "dei"), ("http://fasb.org/srt/2025", "srt"), ("http://www.filer.com/20251231", "own"), ("http://other.org/x/y/", "y")):
+        assert one(spark, uri, lambda c: namespace_prefix(c, {"filer.com": "own"})) == want
+
+
+def test_windows_take_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        docs = spark.range(8).selectExpr("id as doc_id", f"array_join(transform(sequence(1, {n}), i -> concat('w', i)), ' ') as text")
+        began = time.time()
+        chunking.chunk_fixed(docs, 100, 20).agg({"n_tokens": "sum"}).collect()
+        return time.time() - began
 
+    seconds(1000)
+    assert seconds(160_000) < 10 * max(0.5, seconds(40_000))
 
 def test_streams(spark, sf, tmp_path):
     spark.createDataFrame([(1, "Where is my bag"), (2, "quick fox")], "query_id long, question string").write.parquet(str(tmp_path / "q"))
