@@ -77,6 +77,11 @@ once AS (SELECT concept, line, min(pos) AS pos FROM lines GROUP BY ALL)"""
 @query(f"""WITH {SQL_FACTS} SELECT 'tpch:' || concept AS locator, concept AS label, concept || ' — Example FY1998 Form 10-K.' || chr(10) || 'XBRL concept tpch:' || concept || '.' || chr(10) || string_agg(line, chr(10) ORDER BY pos, line) AS text,
 count(*) AS fact_count, FALSE AS headline FROM once GROUP BY concept""")
 def fact_records(spark, d):
+    out = facts.fact_records(_lines(spark, d), spark.createDataFrame([], "key string, label string"), "Example", "FY1998")
+    return out.withColumn("fact_count", F.col("fact_count").cast("long"))
+
+
+def _lines(spark, d) -> DataFrame:
     li, orders, part = (table(spark, d, t) for t in ("lineitem", "orders", "part"))
     kind = F.col("l_linenumber") % 3
     value = F.when(kind == 0, (F.col("l_quantity") * 100000).cast("long")).otherwise(F.col("l_quantity").cast("long")).cast("string")
@@ -84,8 +89,15 @@ def fact_records(spark, d):
     none = F.lit(None).cast("string")
     contexts = orders.select(F.col("o_orderkey").alias("context_id"), F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit("-01")).alias("instant"), none.alias("start"), none.alias("end"), F.array().cast("array<string>").alias("members"))
     units = spark.createDataFrame([("u0", "usd"), ("u1", "shares")], "unit_id string, measure string")
-    lines = facts.fact_lines(rows, contexts, units)
-    out = facts.fact_records(lines, spark.createDataFrame([], "key string, label string"), "Example", "FY1998")
+    return facts.fact_lines(rows, contexts, units)
+
+
+@query(f"""WITH {SQL_FACTS}, paged AS (SELECT *, (row_number() OVER (PARTITION BY concept ORDER BY pos, line) - 1) // 200 AS page FROM once)
+SELECT 'tpch:' || concept || CASE WHEN page > 0 THEN '#' || CAST(page + 1 AS BIGINT) ELSE '' END AS locator, concept AS label, concept || ' — Example FY1998 Form 10-K.' || chr(10) || 'XBRL concept tpch:' || concept || '.' || chr(10) || string_agg(line, chr(10) ORDER BY pos, line) AS text,
+count(*) AS fact_count, FALSE AS headline FROM paged GROUP BY concept, page""")
+def fact_records_paged(spark, d):
+    """Records of at most 200 lines: no row grows with the facts of its concept."""
+    out = facts.fact_records(_lines(spark, d), spark.createDataFrame([], "key string, label string"), "Example", "FY1998", page=200)
     return out.withColumn("fact_count", F.col("fact_count").cast("long"))
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ class Embedder:
                 places = [term_place(t, dims) for t in coded.dictionary.to_pylist()]
                 at, sign = np.array([p for p, _ in places], np.int64), np.array([s for _, s in places])
                 code = coded.indices.to_numpy(zero_copy_only=False)
-                ends = np.cumsum([0, *[n or 0 for n in pa.compute.list_value_length(lists).to_pylist()]])
+                ends = np.cumsum([0, *[n or 0 for n in pc.list_value_length(lists).to_pylist()]])
                 out = []
                 for a, z in zip(ends.tolist(), ends[1:].tolist(), strict=False):
                     v = np.bincount(at[code[a:z]], sign[code[a:z]], dims) if z > a else np.zeros(dims)

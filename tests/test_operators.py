@@ -251,3 +251,42 @@ def test_every_question_is_answered(spark, sf):
     asked = spark.read.parquet(f"{sf}/benchmark.parquet").count()
     got = search_queries.answer_pipeline(spark, sf).where("query_id >= 0")
     assert got.count() == got.select("query_id").distinct().count() == asked
+
+
+class FakeSession:
+    """A session of a cluster without a shared folder."""
+
+    class conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class sparkContext:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: FakeSession.conf)
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from lodeseek.sources.scratch import scratch
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(FakeSession, "x")
+    FakeSession.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch(FakeSession, "x")
+
+
+def test_pages_of_a_record(spark):
+    from lodeseek.operators import facts
+
+    rows = spark.createDataFrame([("p", "c", i, f"line {i % 5}") for i in range(10)], "prefix string, concept string, pos int, line string")
+    got = facts.fact_records(rows, spark.createDataFrame([], "key string, label string"), "E", "Y", page=2).orderBy("locator").collect()
+    assert [(r["locator"], r["fact_count"]) for r in got] == [("p:c", 2), ("p:c#2", 2), ("p:c#3", 1)]
+    assert got[1]["text"].endswith("line 2\nline 3")
+
+
+def test_running_lines_by_either_way(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "g", f"Head 7\nbody {i}\n\nfoot") for i in range(4)] + [(9, None, None)], "id int, grp string, text string")
+    running = corpus.running_lines(pages, "grp")
+    sent = {r["id"]: r["text"] for r in corpus.strip_running(pages, running, "grp", "id").collect()}
+    monkeypatch.setattr(corpus, "MOST_SENT", 0)
+    joined = {r["id"]: r["text"] for r in corpus.strip_running(pages, running, "grp", "id").collect()}
+    assert sent == joined == {0: "", 1: "", 2: "", 3: "", 9: ""}  # body # runs as well, digits masked
