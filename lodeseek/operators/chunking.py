@@ -45,9 +45,10 @@ def chunk_sections(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(parts).alias("chunk_no", "text"))
 
 
+#: The separators in the order they are tried, and the headings of rules.
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
-WORDS = re.compile(r"\S+")
 HEADING = re.compile(r"^(?:RULE\s+\d+[:.]?|G\d{1,3}\b)", re.M)
+WORDS = re.compile(r"\S+")
 
 
 def count_words(text: str) -> int:
