@@ -9,21 +9,23 @@ more is a match.  Windows without any shingle of a template share no minimum wit
 
 Everything is done where the text is: the templates are a fixed list, and no text is shuffled.
 
-Defined cases: null and empty texts have no match; a text with fewer words than a template's shingle has none; the best match
-of each template is reported, the first if several are equal; rows may repeat and are reported once each; null ids
-stay null.
+Defined cases: null and empty texts have no match; a text with fewer words than a template's shingle has none; every
+occurrence of a template is reported: of matches that overlap, the best one, the first if several are equal; rows may
+repeat and are reported once each; null ids stay null.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neardup import MIX, STEP, mixed, word_hashes
+from .common import bounded_batches, released
+from .neardup import MIX, STEP, mixed, text_hashes, word_hashes
 
 #: Notices by which licenses are declared, as published by their stewards.
 NOTICES = {
@@ -47,6 +49,28 @@ NOTICES = {
     "All-rights-reserved": "All rights reserved.",
 }
 
+_BSD_CLAUSES = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Whole licenses, as published by their stewards, without names and years.
+BODIES = {
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-Clause-text": f"{_BSD_CLAUSES}\n{_BSD_WARRANTY}",
+    "BSD-3-Clause-text": f"{_BSD_CLAUSES}\n{_BSD_THIRD}\n{_BSD_WARRANTY}",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+}
+TEMPLATES = NOTICES | BODIES
+
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
@@ -88,9 +112,11 @@ class Templates:
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, containment, first word, words) of the best match of each template."""
-        words = word_hashes(text)
-        best: dict[str, tuple[float, int, int]] = {}
+        return self.scan_words(word_hashes(text))
+
+    def scan_words(self, words: np.ndarray) -> list[tuple[str, float, int, int]]:
+        """(template, containment, first word, words) of every occurrence, by template and place."""
+        found: dict[str, list[tuple[float, int, int]]] = {}
         for size, known in self.any.items():
             h = shingles(words, size)
             hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
@@ -107,23 +133,36 @@ class Templates:
                     some = starts[at : at + 4096]
                     keys = self.band_keys(h[np.minimum(some[:, None] + np.arange(m), len(h) - 1)])
                     for (name, own), template in zip(group, self.keys[s, m], strict=True):
+                        n = len(np.unique(own))
                         for w in some[(keys == template).any(1)].tolist():
                             a, z = max(0, w - step), min(len(h), w + m + step)
-                            found = np.flatnonzero(np.isin(h[a:z], own))
-                            share = len(np.unique(h[a:z][found])) / len(np.unique(own))
-                            if share >= self.least and share > best.get(name, (0.0,))[0]:
-                                best[name] = (share, a + int(found[0]), int(found[-1] - found[0]) + size)
-        return [(name, *v) for name, v in sorted(best.items())]
+                            inside = np.flatnonzero(np.isin(h[a:z], own))
+                            share = len(np.unique(h[a:z][inside])) / n
+                            if share >= self.least:
+                                found.setdefault(name, []).append((share, a + int(inside[0]), int(inside[-1] - inside[0]) + size))
+        return [(name, *m) for name in sorted(found) for m in apart(found[name])]
+
+
+def apart(matches: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Of matches (share, first word, words) the best that do not overlap, by place."""
+    kept: list[tuple[int, int, float]] = []
+    for share, first, n in sorted(set(matches), key=lambda m: (-m[0], m[1], m[2])):
+        i = bisect_left(kept, (first,))
+        if (i == len(kept) or kept[i][0] >= first + n) and (i == 0 or kept[i - 1][0] + kept[i - 1][1] <= first):
+            insort(kept, (first, n, share))
+    return [(share, first, n) for first, n, share in kept]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, k: int = 5, least: float = 0.8, rows: int = 2, jaccard: float = 0.5, sure: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, containment, first_word, n_words) of every template that a document holds."""
+    """(doc_id, license, containment, first_word, n_words) of every occurrence of a template in a document."""
+    kind = pa.struct([("license", pa.string()), ("containment", pa.float64()), ("first_word", pa.int32()), ("n_words", pa.int32())])
 
-    @F.pandas_udf("array<struct<license string, containment double, first_word int, n_words int>>")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = Templates(templates or NOTICES, k, rows, jaccard, sure, least)
-        for texts in batches:
-            yield pd.Series([[dict(zip(("license", "containment", "first_word", "n_words"), m, strict=True)) for m in known.scan(t)] for t in texts], dtype=object)
+    @F.arrow_udf("array<struct<license: string, containment: double, first_word: int, n_words: int>>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Templates(templates or TEMPLATES, k, rows, jaccard, sure, least)
+        for texts in released(batches):
+            yield pa.array([[dict(zip([f.name for f in kind], m, strict=True)) for m in known.scan_words(words)] for words in text_hashes(texts)], pa.list_(kind))
 
+    bounded_batches(docs.sparkSession)
     rows_ = docs.select(F.col(id_col).alias("doc_id"), F.explode(found(F.col(text_col))).alias("m"))
     return rows_.select("doc_id", "m.*")
