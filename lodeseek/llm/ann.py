@@ -9,8 +9,8 @@ follow until one replaces at most a share ``delta`` of all neighbours, as many a
 Search: a node's row holds its neighbours with their vectors.  Each query keeps a beam of the best nodes seen (beam_of,
 it grows with the table), begun with its own neighbours, if it is in the index, and with fixed entry nodes; in each
 round the best nodes that were not expanded yet are joined with their rows and their neighbours scored.  Nodes that
-many queries ask for at once (fewer than HOT of them, by the number of requests) are broadcast, so that no task gets
-all requests for one node.  It ends when no beam holds a node that was not expanded.  The best of each beam are scored
+many queries ask for at once are broadcast, as are vectors that are members of many neighbourhoods while the graph is
+built: fewer than HOT of them, by the number of requests, so that no task gets all requests for one node.  It ends when no beam holds a node that was not expanded.  The best of each beam are scored
 on the original vectors in double precision.  The node rows are persisted on the executors; what is lost with one of
 them is read again from its written table.
 
@@ -34,11 +34,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table, parts, release_shuffles
+from .common import bounded_batches, cut, drop_table, parts, release_shuffles
 from .vecdedup import good_vectors, whole_groups
 
 CELL = 2048
-HOT = 256
+#: Nodes whose requests are more than 1 / HOT of all, and more than FEW, are answered by broadcast: fewer than HOT.
+HOT, FEW = 1024, 4096
 FOUND = "id long, other long, s double"
 
 
@@ -118,6 +119,23 @@ def local_join(df: DataFrame, by: list[str], keep: int) -> DataFrame:
     return dealt.mapInPandas(run, FOUND)
 
 
+def hot_nodes(front: DataFrame, total: int) -> list[int]:
+    """The nodes with more than 1 / HOT of the ``total`` rows of front (node, ...), or of more: fewer than HOT."""
+    most = max(FEW, total // HOT)
+    return [r["node"] for r in front.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()] if total > most else []
+
+
+def answered(front: DataFrame, rows: DataFrame, total: int, hint: str | None = None) -> DataFrame:
+    """front (node, ...) joined with rows (node, ...); those of hot nodes are broadcast, so that no task gets all
+    requests for one node."""
+    hot = hot_nodes(front, total)
+    join = lambda x, y: (x.hint(hint) if hint else x).join(y, "node")
+    if not hot:
+        return join(front, rows)
+    asked = F.col("node").isin(hot)
+    return join(front.where(~asked), rows).unionByName(front.where(asked).join(F.broadcast(rows.where(asked)), "node"))
+
+
 def best_of(found: DataFrame, degree: int) -> DataFrame:
     """(id, nb, replaced): for each id its best ``degree`` others, each once, best first; an entry stays old if it was;
     the number of entries that were not there before."""
@@ -166,8 +184,10 @@ def build(vectors: DataFrame, degree: int = 32, sample: int = 12, cells: int = 8
         back = picked.select(F.col("m").alias("c"), F.col("c").alias("m"), "fresh").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).drop("r")
         members = picked.union(back).groupBy("c", "m").agg(F.max("fresh").alias("fresh"))
         floors = graph.select("id", F.when(F.size("nb") >= degree, F.element_at("nb", -1)["s"]).otherwise(F.lit(float("-inf"))).alias("floor"))
-        known = vectors.select("id", "h", "w").join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-        with_vectors = members.join(known, members["m"] == known["id"]).select("c", "id", "h", "w", "fresh", "floor")
+        known = vectors.select(F.col("id").alias("node"), "h", "w").join(floors.withColumnRenamed("id", "node"), "node", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        # a node has at most 4 * sample members, but may itself be a member of all others
+        with_vectors = answered(members.withColumnRenamed("m", "node"), known, 4 * sample * n if n > 25 * FEW else 0)
+        with_vectors = with_vectors.select("c", F.col("node").alias("id"), "h", "w", "fresh", "floor")
         found = local_join(with_vectors, ["c"], degree).withColumns({"fresh": F.lit(True), "new": F.lit(True)})
         # those that were compared now are old from here on
         aged = graph.select("id", F.explode("nb").alias("e")).select("id", "e.other", "e.s", "e.fresh")
@@ -197,19 +217,6 @@ def beam_of(n: int) -> int:
     return max(160, int(np.ceil(160 * (n / 10_000) ** (1 / 3))))
 
 
-def requested(front: DataFrame, rows: DataFrame, total: int) -> DataFrame:
-    """front (node, ...) of ``total`` rows with the rows of its nodes.  Nodes with more than 1 / HOT of the requests are
-    fewer than HOT: their rows are broadcast."""
-    most = max(4096, total // HOT)
-    counts = front.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > most) if total > most else None
-    hot = [r["node"] for r in counts.collect()] if counts is not None else []
-    cold = front.where(~F.col("node").isin(hot)) if hot else front
-    found = cold.hint("shuffle_hash").join(rows, "node")
-    if hot:
-        found = found.unionByName(front.where(F.col("node").isin(hot)).join(F.broadcast(rows.where(F.col("node").isin(hot))), "node"))
-    return found
-
-
 def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, beam: int | None = None, entries: int = 64, forward: int = 24, backward: int = 16) -> DataFrame:
     """(q, ids): the nodes of the beam of each of queries (id, h, w), nearest first."""
     spark = vectors.sparkSession
@@ -271,7 +278,7 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, beam: int |
     while total := now.agg(F.sum(F.size("go"))).collect()[0][0]:  # a node that left a beam is below its floor and cannot return, so this ends
         floor = F.when(F.size("ids") >= beam, F.element_at("s", -1)).otherwise(F.lit(float("-inf")))
         front = now.select("q", "h", "w", floor.alias("floor"), F.explode("go").alias("node"))
-        asked = requested(front, rows, total).select("q", "h", "w", "floor", "others", "ws", "hs")
+        asked = answered(front, rows, total, "shuffle_hash").select("q", "h", "w", "floor", "others", "ws", "hs")
         scored = asked.mapInPandas(expand, "q long, ids array<long>, s array<double>")
         new = scored.groupBy("q").agg(F.collect_list("ids").alias("new_ids"), F.collect_list("s").alias("new_s"))  # at most width rows
         before, now = now, cut(now.drop("go").join(new, "q", "left").mapInPandas(step, state), "ann-beams")
@@ -296,6 +303,7 @@ def exact(pairs: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 def nearest(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", **options) -> DataFrame:
     """(query_id, rank, vec_id, score): builds the graph over all vectors and searches it for those rows whose id is
     divisible by ``every``."""
+    bounded_batches(df.sparkSession)
     spark = df.sparkSession
     vectors, rows = distinct_vectors(good_vectors(df, id_col, vec_col), k)
     graph = build(vectors)

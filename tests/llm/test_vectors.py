@@ -182,11 +182,15 @@ def test_nearest_of_shapes(spark, kind):
     assert recall(spark, shaped(kind, 2000)) >= 0.9
 
 
-def test_nearest_with_many_requests_for_one_node(spark, monkeypatch):
-    monkeypatch.setattr(ann, "HOT", 1 << 20)
-    real = ann.requested
-    monkeypatch.setattr(ann, "requested", lambda front, rows, total: real(front, rows, total << 20))  # more than 4096 in all
-    assert recall(spark, shaped("scattered", 600, 16), every=3) >= 0.9
+def test_nearest_with_hot_nodes(spark, monkeypatch):
+    """Rows of nodes that many ask for come by broadcast, with the same result."""
+    monkeypatch.setattr(ann, "FEW", 20)
+    seen, real = [], ann.hot_nodes
+    monkeypatch.setattr(ann, "hot_nodes", lambda front, total: seen.append(real(front, total)) or seen[-1])
+    x = shaped("scattered", 600, 16)
+    x[5] *= 50  # a hub
+    assert recall(spark, x, every=3) >= 0.9
+    assert any(5 in hot for hot in seen) and max(map(len, seen)) > 1
 
 
 def test_nearest_of_copies(spark):
