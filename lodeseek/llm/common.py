@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,40 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of one Arrow batch between an executor and its Python workers.
+BATCH_BYTES = "2m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Makes Arrow batches of at most BATCH_BYTES, or one longer text, the session's rule, unless it has one of its own.
+
+    Spark's default of 64 MB takes several hundred MB an executor for long texts.  The bound is the same for all
+    operators, so that a plan that runs later runs with it as well."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def trim() -> None:
+    """Hands a Python process's freed memory back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do without
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(batches: Iterator) -> Iterator:
+    """The batches of a task; when it ends, its worker is trimmed.  Else it would keep the most that any operator took,
+    beside what the next one takes."""
+    yield from batches
+    trim()
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -70,15 +106,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(col, modulus: int):
     """crc32 of an id as text, modulo: the held-out folds."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(modulus)
-
-
-def chunks(texts: list[str], chars: int = 2_000_000):
-    """Lists of whole texts of about so many characters together, with the position of the first."""
-    at = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= chars:
-            yield at, texts[at : i + 1]
-            at, total = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]

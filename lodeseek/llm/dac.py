@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_table, parts
+from .common import bounded_batches, new_table, parts, released
 from .word_cache import cached_encoder, with_end
 
 BLOCK = 512
@@ -103,7 +103,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segme
             row = {"part": part, "seq": seq, "before": before, "n_ids": len(ids), "doc_ids": np.concatenate(docs_in).astype("<i8").tobytes(), "doc_starts": starts.tobytes()}
             return pa.RecordBatch.from_pylist([row | Codes.encode(ids).row()], WRITTEN)
 
-        for batch in batches:
+        for batch in released(batches):
             doc_ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for at, ids, ends, _, _ in encoder.blocks(batch["text"]):
                 ids, ends = with_end(ids, ends, end_id)
@@ -121,6 +121,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segme
         if docs_in:
             yield segment()
 
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -138,7 +139,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     bases = spark.sparkContext.broadcast(dict(zip([p for p, _ in totals], np.cumsum([0, *[n for _, n in totals]]).tolist(), strict=False)))  # a number a part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 raw = memoryview(Codes.of(row["chunks"], row["bitmaps"], []).all().astype("<u4")).cast("B")
                 starts = np.frombuffer(row["doc_starts"], "<u8").astype(np.int64)

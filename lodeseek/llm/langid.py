@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, released, trim
 from .pieces import BLANK, NARROW, blocks, gathered, pieces
 
 WORD = regex.compile(r"\p{L}+")
@@ -121,7 +122,7 @@ class LanguageModel:
     known: pa.Array = field(default_factory=lambda: pa.array([], pa.large_string()), repr=False)  # pieces of texts
     flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64), repr=False)  # the places of their words
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64), repr=False)
-    place: dict = field(default_factory=dict, repr=False)
+    words: pa.Array = field(default_factory=lambda: pa.array([], pa.large_string()), repr=False)  # those of the table's rows
     table: np.ndarray | None = field(default=None, repr=False)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
@@ -132,8 +133,8 @@ class LanguageModel:
                 out[at : at + 20_000] += self.weights[column]
         return out
 
-    def _block(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The scores of all words of a block in a row, and where each text's words end, led by 0."""
+    def _block(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A table of scores, the place of each of a block's words in it, and where each text's words end, led by 0."""
         if self.table is None:
             self.table = np.zeros((0, len(self.languages)), np.float32)
         separator = NARROW[data]
@@ -145,12 +146,12 @@ class LanguageModel:
             fresh = distinct.take(pa.array(missing))
             words = [words_of(p) for p in fresh.to_pylist()]
             length = np.fromiter(map(len, words), np.int64, len(words))
-            row = [w for ws in words for w in ws]
-            found = np.fromiter((self.place.get(w, -1) for w in row), np.int64, len(row))
-            new = list({row[i] for i in np.flatnonzero(found < 0)})
-            places = dict(zip(new, range(len(table), len(table) + len(new)), strict=True))
-            found[found < 0] = [places[row[i]] for i in np.flatnonzero(found < 0)]
-            table = np.concatenate([table, self.word_scores(new)])
+            row = pa.array([w for ws in words for w in ws], pa.large_string()).dictionary_encode()
+            place = pc.index_in(row.dictionary, self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            new = row.dictionary.filter(pa.array(place < 0))
+            place[place < 0] = len(table) + np.arange(len(new))
+            found = place[row.indices.to_numpy(zero_copy_only=False)]
+            table = np.concatenate([table, self.word_scores(new.to_pylist())])
             at[missing] = len(starts) - 1 + np.arange(len(missing))
             flat, starts = np.concatenate([flat, found]), np.concatenate([starts, starts[-1] + np.cumsum(length)])
             if len(self.known) < self.limit:
@@ -158,34 +159,38 @@ class LanguageModel:
                 self.known = pa.concat_arrays([self.known, fresh.filter(pa.array(short))])
                 self.flat = np.concatenate([self.flat, found[np.repeat(short, length)]])
                 self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(length[short])])
-                self.place.update(places)
-                self.table = table
+                self.words, self.table = pa.concat_arrays([self.words, new]), table
         begin, length = starts[at], starts[at + 1] - starts[at]
         row, word_ends = gathered(flat, begin[code], length[code])
-        return table[row].astype(np.float64), np.concatenate([[0], word_ends])[upto]
+        return table, row, np.concatenate([[0], word_ends])[upto]
+
+    def _groups(self, texts: pa.Array, most: int = 1_000_000) -> Iterator[list[np.ndarray]]:
+        """The scores of each text's words, by groups of texts with about ``most`` scores together."""
+        for _, data, ends in blocks(texts):
+            table, row, word_ends = self._block(data, ends)
+            at, words = 0, max(1, most // max(1, len(self.languages)))
+            while at < len(word_ends) - 1:
+                to = max(at + 1, int(np.searchsorted(word_ends, word_ends[at] + words, side="right")) - 1)
+                scores = table[row[word_ends[at] : word_ends[to]]].astype(np.float64)
+                yield np.split(scores, word_ends[at + 1 : to] - word_ends[at])
+                at = to
 
     def emissions(self, texts: list[str]) -> list[np.ndarray]:
-        return [e for _, data, ends in blocks(pa.array(texts, pa.large_string())) for e in self._split(*self._block(data, ends))]
-
-    @staticmethod
-    def _split(scores: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        return np.split(scores, ends[1:-1])
+        return [e for group in self._groups(pa.array(texts, pa.large_string())) for e in group]
 
     def predict(self, texts) -> tuple[list[str], np.ndarray]:
         """The language and the expected share of words in it, of each text of a list or an Arrow array."""
-        names, scores = [], []
-        for _, data, ends in blocks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())):
-            if not self.languages:
-                names += ["und"] * (len(ends) - 1)
-                scores.append(np.zeros(len(ends) - 1))
-                continue
-            marginals, _ = forward_backward(self._split(*self._block(data, ends)), self.transition, self.start)
-            mass = np.array([m.sum(0) for m in marginals]).reshape(len(ends) - 1, len(self.languages))
+        if not self.languages:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        names, scores = [], [np.zeros(0)]
+        for group in self._groups(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())):
+            marginals, _ = forward_backward(group, self.transition, self.start)
+            mass = np.array([m.sum(0) for m in marginals]).reshape(len(group), len(self.languages))
             total, best = mass.sum(1), mass.argmax(1)
             share = np.where(total > 0, mass[np.arange(len(best)), best] / np.maximum(total, 1e-12), 0.0)
             names += [self.languages[b] if n > 0 else "und" for b, n in zip(best, total, strict=True)]
             scores.append(np.clip(share, 0, 1))
-        return names, np.concatenate(scores) if scores else np.zeros(0)
+        return names, np.concatenate(scores)
 
 
 def train(sample: list[tuple[str, str]], words_each: int = 60, rounds: int = 40, rate: float = 0.5, ridge: float = 1e-5) -> LanguageModel:
@@ -210,7 +215,7 @@ def train(sample: list[tuple[str, str]], words_each: int = 60, rounds: int = 40,
     model = LanguageModel(languages, np.zeros((2**BITS + 1, k), np.float32), np.zeros((k, k)), np.zeros(k))
     if not vocabulary:
         return model
-    by_word, by_feature = Sums.of(word_features(list(vocabulary)))
+    by_word, by_feature = Sums.of(list(vocabulary))
     flat_ids, flat_gold = np.concatenate(ids), np.concatenate(gold)
     truth = np.zeros((len(vocabulary), k))
     np.add.at(truth, (flat_ids, flat_gold), 1)
@@ -245,15 +250,31 @@ class Sums:
     starts: np.ndarray
 
     @classmethod
-    def of(cls, features: np.ndarray) -> tuple[Sums, Sums]:
-        """(words by features, features by words) from the features of each word, -1 for none."""
-        word, at = np.nonzero(features >= 0)
-        names, feature = np.unique(features[word, at], return_inverse=True)
-        order = np.argsort(feature, kind="stable")
-        return cls(np.arange(len(features)), feature, np.searchsorted(word, np.arange(len(features)))), cls(names, word[order], np.searchsorted(feature[order], np.arange(len(names))))
-
-    def of_rows(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x[self.columns], self.starts, axis=0)  # each row has a column at least
+    def of(cls, words: list[str]) -> tuple[Sums, Sums]:
+        """(words by features, features by words)."""
+        rows, lists = [], []
+        for at in range(0, len(words), 10_000):
+            features = word_features(words[at : at + 10_000])
+            word, column = np.nonzero(features >= 0)
+            rows.append((word + at).astype(np.int32))
+            lists.append(features[word, column].astype(np.int32))
+        word, feature = np.concatenate(rows), np.concatenate(lists)
+        names = np.flatnonzero(np.bincount(feature, minlength=2**BITS))
+        place = np.zeros(2**BITS, np.int32)
+        place[names] = np.arange(len(names))
+        feature = place[feature]
+        order = np.argsort(feature, kind="stable").astype(np.int32)
+        by_word = cls(np.arange(len(words)), feature, np.searchsorted(word, np.arange(len(words))))
+        return by_word, cls(names, word[order], np.searchsorted(feature[order], np.arange(len(names))))
+
+    def of_rows(self, x: np.ndarray, most: int = 200_000) -> np.ndarray:
+        """Each row has a column at least; about ``most`` of them are taken at once."""
+        out = np.empty((len(self.starts), x.shape[1]))
+        cuts = np.unique(np.append(np.searchsorted(self.starts, np.arange(0, len(self.columns), most)), len(self.starts)))
+        ends = np.append(self.starts, len(self.columns))
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            out[i:j] = np.add.reduceat(x[self.columns[ends[i] : ends[j]]], self.starts[i:j] - ends[i], axis=0)
+        return out
 
 
 def fit(docs: DataFrame, fit_rows: int = 600, excerpt: int = 2000, most_rows: int = 60_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
@@ -267,17 +288,19 @@ def fit(docs: DataFrame, fit_rows: int = 600, excerpt: int = 2000, most_rows: in
     at = F.pmod(F.xxhash64(F.col(id_col)), F.greatest(F.lit(1), F.length(text) - excerpt + 1)) + 1
     if not counts:
         return train([])
-    # about twice fit_rows rows of each language by a cut of the hash, then the first fit_rows of them, in one pass
+    # about twice fit_rows rows of each language by a cut of the hash (all, where there are few), then the first fit_rows of them, in one pass
     part = F.pmod(F.xxhash64(id_col), F.lit(1_000_003))
     spark = docs.sparkSession
-    cuts = spark.createDataFrame([(r[0], int(2 * fit_rows * 1_000_003 / r["n"])) for r in counts], "_lang string, _cut long")  # one row a language
+    cuts = spark.createDataFrame([(r[0], int((2 * fit_rows + 20) * 1_000_003 / r["n"])) for r in counts], "_lang string, _cut long")  # one row a language
     drawn = rows.join(F.broadcast(cuts), rows[lang_col] == F.col("_lang")).where(part <= F.col("_cut"))
     some = drawn.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), text.substr(at.cast("int"), F.lit(excerpt)).alias("text"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     first = some.withColumn("nth", order).where(F.col("nth") <= fit_rows).collect()
     place = {r[0]: i for i, r in enumerate(counts)}
     sample = [(r["text"], r["lang"]) for r in sorted(first, key=lambda r: (place[r["lang"]], r["nth"]))]
-    return train(sample)
+    model = train(sample)
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -286,9 +309,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     @F.arrow_udf("lang_pred string, score double")
     def labelled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in released(batches):
             names, scores = shared.value.predict(texts)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
+    bounded_batches(docs.sparkSession)
     found = docs.withColumn("_found", labelled(F.col(text_col)))
     return found.withColumn("lang_pred", F.col("_found.lang_pred")).withColumn("score", F.col("_found.score")).drop("_found")

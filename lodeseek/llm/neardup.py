@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table, release_shuffles
+from .common import bounded_batches, cut, drop_table, release_shuffles, released
 from .graph import components
 from .pieces import PieceTable
 
@@ -48,7 +48,7 @@ class _WordHashes(dict):
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 400_000:
+        if len(self) < 100_000:
             self[word] = h
         return h
 
@@ -159,7 +159,7 @@ def sketched(rows_: DataFrame, k: int, tables: int, rows: int, l: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for batch in batches:
+        for batch in released(batches):
             digests, sizes, keys = [], [], []
             for words in text_hashes(batch["text"]):
                 digests.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
@@ -172,6 +172,7 @@ def sketched(rows_: DataFrame, k: int, tables: int, rows: int, l: int) -> DataFr
             columns = [batch["doc_id"], batch["th"], pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sizes, pa.int32()), listed]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "h1", "h2", "n", "keys"])
 
+    bounded_batches(rows_.sparkSession)
     return rows_.mapInArrow(run, "doc_id long, th long, h1 long, h2 long, n int, keys array<long>")
 
 
@@ -180,7 +181,7 @@ def with_kmers(texts: DataFrame, k: int) -> DataFrame:
 
     @F.arrow_udf("binary")
     def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for some in batches:
+        for some in released(batches):
             yield pa.array([kmers(words, k).tobytes() for words in text_hashes(some)], pa.binary())
 
     return texts.select("rep", packed("text").alias("kmers"))
@@ -195,7 +196,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     @F.arrow_udf("sim double, jaccard double")
     def compare(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
+        for a, b in released(batches):
             out = [aligned(unpacked(x.as_py()), unpacked(y.as_py()), least) for x, y in zip(a, b, strict=True)]
             yield pa.StructArray.from_arrays([pa.array([x[i] for x in out], pa.float64()) for i in (0, 1)], ["sim", "jaccard"])
 
@@ -214,12 +215,12 @@ def common_kmers(texts: DataFrame) -> DataFrame:
 
     @F.arrow_udf("array<long>")
     def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for some in batches:
+        for some in released(batches):
             yield pa.array([unpacked(t.as_py()).view(np.int64) for t in some], pa.list_(pa.int64()))
 
     @F.arrow_udf("array<int>")
     def counted(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for some, at, ns in batches:
+        for some, at, ns in released(batches):
             out = []
             for t, bins, less in zip(some, at, ns, strict=True):
                 n = np.bincount((unpacked(t.as_py()) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
@@ -324,6 +325,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     one id are judged each on its own."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     gone = row_groups(docs, **options).where("not kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).withColumns({"_id": F.col(id_col).cast("long"), "_th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    kept = known.join(gone, ["_id", "_th"], "left_anti").dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    known = docs.where(F.col(id_col).isNotNull())
+    known = known.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"))
+    kept = known.join(gone, ["_id", "_th"], "left_anti").dropDuplicates(["_id", "_th"]).select("row.*")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts
+from .common import bounded_batches, cut, parts, released
 from .word_cache import cached_encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, twin long"
@@ -126,7 +126,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = cached_encoder(tokenizer)
-        for batch in batches:
+        for batch in released(batches):
             for at, ids, ends, data, data_ends in encoder.blocks(batch["text"]):
                 ids, ends = with_end(ids, ends, end_id)
                 doc, piece, start, length = cut_into_pieces(np.diff(ends), capacity)
@@ -137,6 +137,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
                 columns = [batch["doc_id"].take(pa.array(at + doc)), piece.astype(np.int32), start, length, np.array(crc, np.int64), twin[doc]]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "piece", "start", "length", "ids_crc32", "twin"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
 

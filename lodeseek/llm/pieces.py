@@ -21,7 +21,7 @@ NARROW = np.array([9 <= b <= 13 or b == BLANK for b in range(256)])
 LEADS = np.array([b in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 
 
-def blocks(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def blocks(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, ends) of blocks of whole texts of about ``most`` bytes; a null text counts as empty.
 
     ``ends`` has one entry more than the block has texts, and begins with 0."""

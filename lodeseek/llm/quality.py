@@ -1,8 +1,9 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad labelled text.
 
 Two zstandard dictionaries are trained, one on good texts and one on bad ones.  Chunks of a text are compressed with
-either, and the difference of the sizes summed over the whole text, divided by their sum, is the raw score; a logistic
-curve fitted on other labelled rows turns it into the probability of label 1.  Chunks are short, so that it is the
+either, and the difference of the sizes summed over the whole text, divided by their sum and a constant that keeps very
+short texts from extremes, is the raw score; a logistic curve turns it into the probability of label 1.  The curve is
+fitted on labelled rows whose scores come from dictionaries trained without them.  Chunks are short, so that it is the
 dictionary that helps and not what the text said before.
 
 Defined cases: a null text counts as empty; an empty text has raw score 0; where a label has too few texts to train a
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, released, trim
 from .pieces import blocks
 
 
@@ -31,6 +33,7 @@ class QualityModel:
     level: float
     chunk: int = 200
     effort: int = 1
+    smoothing: int = 100
 
     def compressors(self):
         import zstandard
@@ -54,7 +57,7 @@ class QualityModel:
                     part = held[i : min(i + self.chunk, end)]
                     a += len(good.compress(part))
                     b += len(bad.compress(part))
-                out.append((b - a) / (a + b) if a + b else 0.0)
+                out.append((b - a) / (a + b + self.smoothing))
         return np.array(out, float)
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
@@ -88,10 +91,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(a[0] * scale), float(a[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, excerpt: int = 8000, size: int = 30_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, excerpt: int = 8000, size: int = 60_000, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fits on at most ``fit_rows`` labelled rows, half of each label, chosen by a hash of their ids; of each, at most
-    ``excerpt`` characters (the driver holds no more than their product).  Two thirds of the rows make the
-    dictionaries, the rest the curve, weighted to the shares of the labels among all labelled rows."""
+    ``excerpt`` characters (the driver holds no more than their product).  The dictionaries are trained on all of them;
+    the curve is fitted on scores by dictionaries of the other ``folds``, weighted to the shares of the labels among all
+    labelled rows."""
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y in (0, 1)")
     share = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(share.values())
@@ -104,14 +108,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, excerpt: int =
     at = F.pmod(F.xxhash64(F.col(id_col)), F.greatest(F.lit(1), F.length(text) - excerpt + 1)) + 1
     found = docs.select(F.col(id_col).alias("id"), text.substr(at.cast("int"), F.lit(excerpt)).alias("text")).join(F.broadcast(ids), "id")  # at most fit_rows ids
     rows = sorted({(r["id"], r["text"], r["y"]) for r in found.collect()})
-    for_words = [r for i, r in enumerate(rows) if i % 3]
-    for_curve = [r for i, r in enumerate(rows) if not i % 3]
-    model = QualityModel(*(dictionary([r[1] for r in for_words if r[2] == y], size) for y in (1, 0)), 0.0, 0.0)
-    x, y = model.raw([r[1] for r in for_curve]), np.array([r[2] for r in for_curve], float)
+    trained = lambda some: QualityModel(*(dictionary([r[1] for r in some if r[2] == y], size) for y in (1, 0)), 0.0, 0.0)
+    model, x = trained(rows), np.zeros(len(rows))
+    for fold in range(folds):
+        mine = np.arange(len(rows)) % folds == fold
+        rest = trained([r for r, m in zip(rows, mine, strict=True) if not m])
+        x[mine] = rest.raw([r[1] for r, m in zip(rows, mine, strict=True) if m])
+    y = np.array([r[2] for r in rows], float)
     if len(x):
         n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
         weight = np.where(y == 1, share[1] / total / n1, share[0] / total / n0) * len(y)
         model.slope, model.level = logistic(x, y, weight)
+    trim()
     return model
 
 
@@ -121,8 +129,9 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.7, text_col
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compressors = model.compressors()
-        for texts in batches:
+        for texts in released(batches):
             yield pa.array(model.probability(model.raw(texts, compressors)))
 
+    bounded_batches(docs.sparkSession)
     out = docs.withColumn("score", scored(F.col(text_col)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

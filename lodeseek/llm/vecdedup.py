@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts
+from .common import bounded_batches, cut, parts
 from .graph import components
 
 
@@ -92,6 +92,7 @@ def unit(rows) -> np.ndarray:
 def near_duplicate_vectors(df: DataFrame, least: float = 0.95, tile: int = 128, fit_rows: int = 20_000, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.  ITQ is fitted on at most ``fit_rows`` vectors, chosen by a
     hash of their ids; all vectors are indexed."""
+    bounded_batches(df.sparkSession)
     keys = [F.when(F.col("fine"), x).alias(n) for n, x in (("d", F.size("v")), ("h1", F.xxhash64("v")), ("h2", F.xxhash64(F.lit("vector"), F.col("v"))))]
     rows = all_vectors(df, id_col, vec_col).select("id", "v", *keys)
     classes = rows.where("d is not null").groupBy("d", "h1", "h2").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("v").alias("v"))
