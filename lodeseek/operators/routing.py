@@ -45,14 +45,17 @@ def defined_terms(units: DataFrame, skip: tuple[str, ...] = ("financial",), leas
     return lines.groupBy("term").agg(F.count("*").alias("n"), F.min("business_line").alias("business_line")).where("n = 1").select("term", "business_line")
 
 
-def term_prior(questions: DataFrame, terms: DataFrame, most_words: int = 10) -> DataFrame:
+def term_prior(questions: DataFrame, terms: DataFrame, most_letters: int = 40) -> DataFrame:
     """(query_id, business_line, prior): 1 + 0.4 for each blank of every defined term that a question holds as words.
 
-    The questions' word runs of up to ``most_words`` words join the terms by equality; terms are at most 40 letters."""
-    text = F.regexp_replace(F.lower("question"), r"[^\p{L}\p{N}_/'\- ]+", " | ")
-    w = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.array_join(F.slice(w, i, n), " "))))
-    held = questions.select("query_id", F.explode(F.array_distinct(runs)).alias("term"))
+    A term is held where no a-z, digit or underscore stands right before or after it; any other letter ends a word.
+    The questions' pieces of up to ``most_letters``, the length that DEFINITION allows, join the terms by equality."""
+    parts = F.regexp_extract_all(F.lower("question"), F.lit(r"([a-z0-9_]+|[^a-z0-9_])"), F.lit(1))
+    word = lambda c: F.coalesce(F.regexp_like(c, F.lit("^[a-z0-9_]")), F.lit(False))
+    ends = lambda p, last: word(F.get(p, last)) | ~word(F.get(p, last + 1))
+    held = questions.select("query_id", parts.alias("p")).select("query_id", "p", F.posexplode("p").alias("i", "part")).where(word(F.col("part")))
+    runs = F.transform(F.sequence(F.lit(1), F.lit(most_letters)), lambda n: F.when(ends(F.col("p"), F.col("i") + n - 1), F.array_join(F.slice("p", F.col("i") + 1, n), "")))
+    held = held.select("query_id", F.explode(F.array_distinct(runs)).alias("term")).where(F.length("term") <= most_letters).distinct()
     matched = held.join(terms, "term")
     return matched.groupBy("query_id", "business_line").agg(F.sum(1 + 0.4 * (F.size(F.split("term", " ")) - 1)).alias("prior"))
 

@@ -1,5 +1,7 @@
 """Operators on literal rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +115,21 @@ def test_terms(spark):
     assert [(r["query_id"], r["business_line"], r["prior"]) for r in routing.term_prior(asked, terms).collect()] == [(1, "cargo", 1.4)]
 
 
+def test_terms_held_by_questions(spark):
+    """As SQL finds them: (^|[^a-z0-9_])term($|[^a-z0-9_]) in the lower-cased question."""
+    words = ["pour le", "air waybill", "checked bag", "a b c d e f g h i j k l", "fo'c'sle deck", "of x-"]
+    terms = spark.createDataFrame([(w, "l") for w in words], "term string, business_line string")
+    texts = {1: "aiè pour leê", 2: "éAIR WAYBILLß", 3: "checked bag's", 4: "checked  bag", 5: "checked\nbag", 6: "checked bags", 7: "_checked bag", 8: "checked bag2", 9: "checked bag", 10: "so: a b c d e f g h i j k l.", 11: "", 12: None,
+             13: "a fo'c'sle deck/checked bag", 14: "of x-", 15: "of x-y", 16: "of x--", 17: "checked bag, checked bag", 18: "\U0001d11echecked bag\U0001d11e"}
+    want = {}
+    for i, t in texts.items():
+        got = sum(1 + 0.4 * w.count(" ") for w in words if re.search(f"(^|[^a-z0-9_]){re.escape(w)}($|[^a-z0-9_])", (t or "").lower()))
+        want |= {i: pytest.approx(got)} if got else {}
+    asked = spark.createDataFrame(list(texts.items()), "query_id int, question string")
+    assert {r["query_id"]: r["prior"] for r in routing.term_prior(asked, terms).collect()} == want
+    assert set(want) == {1, 2, 3, 9, 10, 13, 14, 16, 17, 18}
+
+
 def test_span_hits(spark):
     units = spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "other text")], "doc_id int, text string")
     spans = spark.createDataFrame([(1, "uick brown fo"), (2, "r t"), (3, "missing span text")], "id int, span string")
