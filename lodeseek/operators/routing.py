@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import round6
+
 #: Fixed value: how documents introduce a term.
 DEFINITION = r"(?m)^([A-Z][A-Za-z][A-Za-z /'\-]{1,38}?)\s*(?:shall mean|means|shall be|[-–]\s)"
 #: Terms too general to route by; the caller adds what else all lines share, such as the publisher's name.
@@ -30,8 +32,10 @@ def with_prior(voted: DataFrame, prior: DataFrame, weight: float = 0.35) -> Data
 
 
 def decide(voted: DataFrame) -> DataFrame:
-    """(query_id, route, confidence): most votes, the earliest hit among ties; its share of all votes."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("votes"), "first_rank", "business_line")
+    """(query_id, route, confidence): most votes, the earliest hit among ties; its share of all votes.
+
+    Votes are compared at six places, so that equal sums tie whatever the order of summation."""
+    order = Window.partitionBy("query_id").orderBy(round6(F.col("votes")).desc(), "first_rank", "business_line")
     share = F.col("votes") / F.sum("votes").over(Window.partitionBy("query_id"))
     ranked = voted.withColumns({"n": F.row_number().over(order), "confidence": F.coalesce(share, F.lit(0.0))})
     return ranked.where("n = 1").select("query_id", F.col("business_line").alias("route"), "confidence")

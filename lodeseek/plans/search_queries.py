@@ -336,8 +336,7 @@ def placed_hits(spark, d) -> DataFrame:
 
 
 def _decided(voted: DataFrame) -> DataFrame:
-    out = routing.decide(voted.withColumn("votes", F.col("votes")))
-    return out.withColumn("confidence", round6(F.col("confidence")))
+    return routing.decide(voted).withColumn("confidence", round6(F.col("confidence")))
 
 
 @query(f"WITH {SQL_ROUTED} {sql_decide(sql_votes(1))}")

@@ -107,6 +107,13 @@ def test_route(spark):
     assert {r["rank"] for r in routing.scope(hits, 5).where("query_id = 1").collect()} == {1}
 
 
+def test_route_of_equal_votes(spark):
+    """Sums of equal parts in another order differ by a last bit; the earliest hit decides."""
+    assert 0.1 + 0.2 > 0.3
+    voted = spark.createDataFrame([(1, "a", 0.1 + 0.2, 2), (1, "b", 0.3, 1)], "query_id int, business_line string, votes double, first_rank int")
+    assert [r["route"] for r in routing.decide(voted).collect()] == ["b"]
+
+
 def test_terms(spark):
     units = spark.createDataFrame([("cargo", "Air Waybill means a document\nCarrier means us"), ("passenger", "Checked Bag shall mean a bag\nCarrier means us")], "business_line string, text string")
     terms = routing.defined_terms(units)
