@@ -8,6 +8,8 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,9 +101,15 @@ def round6(c: Column) -> Column:
 
 
 def stemmed(c: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def stems(lists: pd.Series) -> pd.Series:
-        seen: dict[str, str] = {}
-        return lists.map(lambda ws: None if ws is None else [seen.setdefault(w, stem(w)) for w in ws])
+    """The stems of words, one for one; each distinct word of a batch is stemmed once."""
+
+    @F.arrow_udf("array<string>")
+    def stems(lists: pa.Array) -> pa.Array:
+        words = lists.flatten().dictionary_encode()
+        kind = words.dictionary.type
+        values = pa.array([stem(w) for w in words.dictionary.to_pylist()], kind).take(words.indices)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0)
+        ends = pa.concat_arrays([pa.array([0], lengths.type), pc.cumulative_sum(lengths)])
+        return type(lists).from_arrays(ends, values, mask=lists.is_null())
 
     return stems(c)

@@ -13,27 +13,32 @@ from .ranking import top_k
 
 
 class Bm25Index:
-    """Postings of a corpus (item_id, text and any columns to filter by); nothing is computed until it is searched."""
+    """Postings of a corpus (item_id, text and any columns to filter by); nothing is computed until it is searched.
 
-    def __init__(self, corpus: DataFrame, k1: float = 1.5, b: float = 0.75, analyse=tokens):
-        self.k1, self.b, self.analyse = k1, b, analyse
-        self.items = corpus.withColumn("terms", analyse(F.col("text"))).withColumn("dl", F.size("terms"))
+    ``fold`` changes the words that ``analyse`` cuts one for one, as a stemmer does; lengths need no folding."""
+
+    def __init__(self, corpus: DataFrame, k1: float = 1.5, b: float = 0.75, analyse=tokens, fold=None):
+        self.k1, self.b, self.analyse = k1, b, (lambda c: fold(analyse(c))) if fold else analyse
+        self.lengths = corpus.select(F.size(analyse(F.col("text"))).alias("dl"))
+        self.items = corpus.withColumn("terms", self.analyse(F.col("text"))).withColumn("dl", F.size("terms"))
 
     def write(self, path: str) -> Bm25Index:
         """Writes the terms of all items, so that they are cut once whatever is searched, and reads from there on."""
         self.items.drop("text").write.mode("overwrite").parquet(path)
         self.items = self.items.sparkSession.read.parquet(path)
+        self.lengths = self.items.select("dl")
         return self
 
     @classmethod
     def open(cls, spark, path: str, **options) -> Bm25Index:
         out = cls(spark.createDataFrame([], "item_id long, text string"), **options)
         out.items = spark.read.parquet(path)
+        out.lengths = out.items.select("dl")
         return out
 
     def stats(self) -> DataFrame:
         """One row: number of items and mean length."""
-        return self.items.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        return self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
     def document_frequency(self) -> DataFrame:
         return self.items.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -42,13 +47,15 @@ class Bm25Index:
         """(query_id, item_id, score, rank) of queries (query_id, question and, to filter, business_line).
 
         Only the queries' terms are counted, before any shuffle of postings; the filter comes before the ranking.
+        Words are cut once for the postings: explode() would add a filter that cuts them again, and frequencies that do
+        not read tf would have postings of their own.
         """
         asked = queries.select("query_id", *(["business_line"] if filtered else []), F.explode(F.array_distinct(self.analyse(F.col("question")))).alias("term"))
         wanted = asked.select("term").distinct()
         extra = ["business_line"] if filtered else []
-        postings = self.items.select("item_id", "dl", *extra, F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
+        postings = self.items.select("item_id", "dl", *extra, F.explode_outer("terms").alias("term")).join(wanted, "term", "left_semi")
         postings = postings.groupBy("term", "item_id", "dl", *extra).agg(F.count("*").alias("tf"))
-        df = postings.groupBy("term").agg(F.count("*").alias("df"))
+        df = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
         scored = asked.join(postings, ["term", *extra]).join(df, "term").crossJoin(F.broadcast(self.stats()))  # one row
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = F.col("tf") / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))

@@ -106,7 +106,7 @@ def bm25_search_filtered(spark, d):
 
 @query()
 def bm25_stemmed(spark, d):
-    index = Bm25Index(corpus_items(spark, d), analyse=lambda c: stemmed(tokens(c)))
+    index = Bm25Index(corpus_items(spark, d), fold=stemmed)
     return _rank(index.search(questions(spark, d), 10)).select("query_id", "item_id", "score", "rank")
 
 

@@ -2,11 +2,12 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodeseek.functions import formats, text
-from lodeseek.operators import chunking, corpus, evaluation, guards, routing
+from lodeseek.operators import chunking, corpus, evaluation, guards, routing, search
 from lodeseek.sources import html, sets
 from lodeseek.streaming import questions
 
@@ -114,6 +115,38 @@ def test_route_of_equal_votes(spark):
     assert [r["route"] for r in routing.decide(voted).collect()] == ["b"]
 
 
+def test_stems_of_lists(spark):
+    """Null and empty lists, in batches that are parts of longer ones."""
+    rows = [(i, None if i % 5 == 0 else ["flies", "running", "über", "flies"][: i % 4]) for i in range(50)]
+    want = {i: None if ws is None else [text.stem(w) for w in ws] for i, ws in rows}
+    got = spark.createDataFrame(rows, "i int, ws array<string>").coalesce(1).select("i", text.stemmed(F.col("ws")).alias("s"))
+    for batch in (10000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        assert {r["i"]: r["s"] for r in got.collect()} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert want[3] == ["fli", "run", "über"] and want[4] == []
+
+
+def test_words_are_folded_once(spark):
+    """A search folds the words of the corpus once, those of the questions twice."""
+    folded = spark.sparkContext.accumulator(0)
+
+    def fold(c):
+        @F.arrow_udf("array<string>")
+        def counted(lists: pa.Array) -> pa.Array:
+            folded.add(len(lists.flatten()))
+            return lists
+
+        return counted(c)
+
+    corpus = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, ""), (4, None), (5, "green")], "item_id int, text string")
+    asked = spark.createDataFrame([(1, "red fox")], "query_id int, question string")
+    plain = search.Bm25Index(corpus).search(asked, 5).collect()
+    assert search.Bm25Index(corpus, fold=fold).search(asked, 5).collect() == plain
+    assert [r["item_id"] for r in sorted(plain, key=lambda r: r["rank"])] == [1, 2]
+    assert folded.value == 6 + 2 * 2
+
+
 def test_terms(spark):
     units = spark.createDataFrame([("cargo", "Air Waybill means a document\nCarrier means us"), ("passenger", "Checked Bag shall mean a bag\nCarrier means us")], "business_line string, text string")
     terms = routing.defined_terms(units)
